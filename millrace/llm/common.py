@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.ship import ship
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -51,6 +53,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
                 if out is not None:
                     yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

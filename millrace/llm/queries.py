@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import media, packing, tokencount
+from millrace.llm import langid, media, packing, tokencount, toxicity, warc
+from millrace.llm.common import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, crc_mod("doc_id", 3) != 1)
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_media(table(spark, sf_dir, "documents")).drop("keyframes")
 
@@ -25,8 +34,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
+    found = toxicity.scored(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_best_fit_packing, op4_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_best_fit_packing, op4_token_counts, op5_warc, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
