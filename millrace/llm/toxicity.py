@@ -27,15 +27,16 @@ from pyspark.sql import functions as F
 from millrace.llm.common import crc_mod, map_batches, staged, utf8
 
 MAX_ROWS, MAX_WORDS, REMEMBERED = 20_000, 50_000, 400_000
-#: Strength of the prior in words; least z of a toxic word; score of any other word; segments listed must be rarer than this.
-PRIOR, LEAST_Z, OTHER, RARE = 1000.0, 4.0, -0.05, 0.01
+#: Strength of the prior as a share of all words counted; least z and log-odds of a toxic word; score of any other word; segments listed
+#: must be rarer than this.
+PRIOR, LEAST_Z, LEAST_ODDS, OTHER, RARE = 0.03, 3.0, 2.5, -0.05, 0.01
 _RUNS = regex.compile(r"\p{L}+").findall
 
 
 def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
     found = (Counter(), Counter())
     for toxic, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-        found[bool(toxic)].update(text.split())
+        found[bool(toxic)].update(set(text.split()))  # a word counts once in a text, so texts that repeat themselves weigh no more
     words = (Counter(), Counter())
     for k in (0, 1):
         for chunk, n in found[k].items():
@@ -151,10 +152,11 @@ def scored(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     n0, n1 = total["n0"] or 0, total["n1"] or 0
     if not n0 or not n1:
         return slim.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("evidence"), F.lit(None).cast("array<struct<first_word: bigint, end_word: bigint, score: double>>").alias("segments"))
-    prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1")) / (n0 + n1)
-    odds = F.log((F.col("n1") + prior) / (n1 + PRIOR - F.col("n1") - prior)) - F.log((F.col("n0") + prior) / (n0 + PRIOR - F.col("n0") - prior))
+    strength = PRIOR * (n0 + n1)
+    prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1"))
+    odds = F.log((F.col("n1") + prior) / (n1 + strength - F.col("n1") - prior)) - F.log((F.col("n0") + prior) / (n0 + strength - F.col("n0") - prior))
     z = odds / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    top = words.select("word", "n0", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") > 0)).orderBy(F.desc("z"), "word").limit(max_words).collect()
+    top = words.select("word", "n0", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(max_words).collect()
     lexicon = {r["word"]: r["odds"] for r in top}
     p = np.array([r["n0"] + 0.5 for r in top] + [0.0]) / n0
     p[-1] = 1 - p.sum()
