@@ -60,3 +60,12 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
 def utf8(column: pa.Array) -> list[bytes]:
     """The strings of an Arrow column as UTF-8 bytes, null as empty."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
+
+
+#: Rows of a few numbers each that may be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 400_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a staged table, marked for broadcast if it was counted to have at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, media, packing, quality, tokencount, toxicity, warc
+from millrace.llm import langid, media, ngram_join, packing, quality, tokencount, toxicity, warc
 from millrace.llm.common import crc_mod
 
 
@@ -44,6 +44,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "n_similar", "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
     found = quality.judged(table(spark, sf_dir, "documents"), labels)
@@ -51,7 +55,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_best_fit_packing, op4_token_counts, op5_warc, op7_toxicity, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_best_fit_packing, op4_token_counts, op5_warc, op7_toxicity, op8_ngram_jaccard, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
