@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, media, ngram_join, packing, quality, tokencount, toxicity, warc
+from millrace.llm import langid, media, ngram_join, packing, quality, repeats, tokencount, toxicity, warc
 from millrace.llm.common import crc_mod
 
 
@@ -54,8 +54,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_best_fit_packing, op4_token_counts, op5_warc, op7_toxicity, op8_ngram_jaccard, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_best_fit_packing, op4_token_counts, op5_warc, op7_toxicity, op8_ngram_jaccard, op9_quality_rules, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
