@@ -97,7 +97,7 @@ def _pairs(prefixes: DataFrame, order: str, percent: int) -> DataFrame:
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of df: id_col, n_shingles, class (bigint; null for empty sets), n_similar, component_id."""
+    """One row for each row of df: id_col, text_hash, n_shingles, class (bigint; null for empty sets), n_similar, component_id."""
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = _sets(docs.select("id", F.xxhash64("text").alias("t"), "text"), n)
     front = F.filter("s", lambda e: F.pmod(e, F.lit(FRONT)) == 0)
@@ -127,5 +127,18 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     placed = roots.join(least, "root").select(F.col("u").alias("k"), "least")
     known = classes.filter("m > 1").select("k", "id", "m").union(members.filter("m = 1").select("k", "id", "m")).join(near, "k", "left").join(placed, "k", "left")
     known = if_small(staged(known.select(F.col("k").alias("ck"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("similar"), F.coalesce("least", "id").alias("least")), "known"))
-    out = base.select("id", "k", "n").join(known, (F.col("k") == F.col("ck")) & (F.col("n") > 0), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("k")).alias("class"), F.coalesce("similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("least", "id").alias("component_id"))
+    out = base.select("id", "t", "k", "n").join(known, (F.col("k") == F.col("ck")) & (F.col("n") > 0), "left")
+    return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("k")).alias("class"), F.coalesce("similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("least", "id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of df that stay when one document of each component does: that with the smallest id; of repeated rows, one.
+
+    Documents without an id stay unless their component has an id; rows that share a component's smallest id with other texts stay."""
+    found = staged(similar(df, id_col, text_col, n, percent), "similar")
+    out = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__t")).distinct()
+    out = if_small(staged(out, "out"))
+    same = (F.col(id_col).cast("bigint").eqNullSafe(F.col("__id"))) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__t"))
+    left = df.join(out, same, "left_anti")
+    again = found.filter(F.col(id_col).isNotNull()).groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return left if again.isEmpty() else left.dropDuplicates([id_col, text_col])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, media, ngram_join, packing, quality, repeats, tokencount, toxicity, warc
+from millrace.llm import langid, media, mixing, ngram_join, packing, quality, repeats, tokencount, toxicity, warc
 from millrace.llm.common import crc_mod
 
 
@@ -38,6 +38,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
     found = toxicity.scored(table(spark, sf_dir, "documents"), labels)
@@ -59,7 +63,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_best_fit_packing, op4_token_counts, op5_warc, op7_toxicity, op8_ngram_jaccard, op9_quality_rules, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_best_fit_packing, op4_token_counts, op5_warc, op6_mixing, op7_toxicity, op8_ngram_jaccard, op9_quality_rules, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
