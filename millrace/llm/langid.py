@@ -28,8 +28,8 @@ from millrace.llm.common import map_batches, utf8
 
 ORDER, BITS = 5, 12
 PAD, END = "\1", "\2"
-#: 5-grams in a model; rows that calibrate rejection; chunks that a worker remembers; bytes of text scored at once.
-MAX_NGRAMS, CALIBRATION_ROWS, REMEMBERED, AT_ONCE = 1_000_000, 4000, 400_000, 2_000_000
+#: 5-grams in a model; rows that calibrate rejection; chunks that a worker remembers; bytes of text and new words scored at once.
+MAX_NGRAMS, CALIBRATION_ROWS, REMEMBERED, AT_ONCE, WORDS = 1_000_000, 4000, 400_000, 2_000_000, 10_000
 _RUNS = regex.compile(r"\p{L}+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,15 +161,17 @@ class Scorer(dict):
         words = sorted({w for r in runs for w in r})
         rows = np.zeros((len(self.new), self.sums.shape[1]))
         if words:
-            keys, sizes = grams(words)
-            ends = np.cumsum(sizes)
-            per = np.add.reduceat(np.column_stack([self.model.log_p(keys), np.ones(len(keys))]), ends - sizes)
+            per = np.concatenate([self._words(words[k : k + WORDS]) for k in range(0, len(words), WORDS)])
             at = {w: k for k, w in enumerate(words)}
             owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
             np.add.at(rows, owner, per[[at[w] for r in runs for w in r]])
         self.sums = np.vstack([self.sums[: len(self) - len(self.new)], rows])
         self.new = []
 
+    def _words(self, words: list[str]) -> np.ndarray:
+        keys, sizes = grams(words)
+        return np.add.reduceat(np.column_stack([self.model.log_p(keys), np.ones(len(keys))]), np.cumsum(sizes) - sizes)
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """A row for each text: the sum for every language, then the number of letters."""
         out, k = np.zeros((len(texts), self.sums.shape[1])), 0
