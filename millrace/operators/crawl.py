@@ -58,8 +58,10 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def allowed(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """paths (host, path) and whether robots rules (host, prefix, allow) let them be fetched: the longest prefix decides, allow wins ties."""
-    hit = paths.join(rules, (paths["host"] == rules["host"]) & F.startswith(paths["path"], rules["prefix"]), "left").select(paths["host"], paths["path"], "allow", F.length("prefix").alias("n"))
-    return hit.groupBy("host", "path").agg(F.coalesce(F.max_by("allow", F.struct("n", F.col("allow").cast("int"))), F.lit(True)).alias("allowed"))
+    named = rules.select(F.col("host").alias("rule_host"), "prefix", "allow")
+    hit = paths.join(named, (F.col("host") == F.col("rule_host")) & F.startswith("path", "prefix"), "left")
+    best = F.max_by("allow", F.struct(F.length("prefix").alias("n"), F.col("allow").cast("int").alias("a")))
+    return hit.groupBy("host", "path").agg(F.coalesce(best, F.lit(True)).alias("allowed"))
 
 
 def frontier_order() -> list[Column]:

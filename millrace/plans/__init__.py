@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each with its SQL twin."""
 
-from millrace.plans import registry, relational
+from millrace.plans import dataflows, registry, relational, versioned
 
 
 def queries() -> dict[str, registry.Query]:
@@ -11,4 +11,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(registry.ORACLES)
 
 
-__all__ = ["oracle_sql", "queries", "registry", "relational"]
+__all__ = ["dataflows", "oracle_sql", "queries", "registry", "relational", "versioned"]
