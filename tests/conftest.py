@@ -15,6 +15,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)
