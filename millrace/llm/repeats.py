@@ -6,8 +6,9 @@ windows that can repeat are compared here:
 
 1. Each window of `size` bytes has an anchor: its k-gram of least hash, the leftmost of equals. Equal windows have equal anchors at equal
    places, so a window can only repeat inside its anchor's group. Neighbouring windows with one anchor form a region.
-2. Groups of one region are dropped: nothing there repeats. Regions that repeat whole are repeats; for the rest each region that differs in
-   its group, once, gives the hashes of its windows, and equal hashes in two places are repeats.
+2. Anchors that come once are dropped: nothing there repeats. Regions that repeat whole are repeats. Of the rest each region that differs
+   in its group is taken once and cut into blocks of windows: a block repeats if all its bytes do, cannot repeat if what its windows
+   share does not, and only blocks between, at the ends of passages, are compared window by window.
 3. Spans come together by text, are merged, and cut out.
 
 Hot keys: a passage that very many texts share is counted by partial aggregation, and joins on hot anchors are left to adaptive skew
@@ -34,6 +35,8 @@ from millrace.llm.common import if_small, map_batches, staged, utf8
 SIZE, GRAM = 200, 40
 #: Bytes hashed at once; a place in a piece takes PLACE bits of an ordering key.
 PIECE, PLACE = 1 << 18, 19
+#: Windows in a block.
+STEP = 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -137,8 +140,60 @@ class _Regions:
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(number)), pa.array(first.astype(np.int64)), pa.array(many.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(region.view(np.int64))], ["t", "first", "many", "anchor", "region"])
 
 
+def _anchors(grams: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """The place of each window's anchor: the leftmost of its grams of least hash."""
+    high = grams & ~np.uint64((1 << PLACE) - 1)
+    return first + high[first[:, None] + np.arange(width)].argmin(1)
+
+
+def blocks(text: bytes, first: np.ndarray, many: np.ndarray, size: int, gram: int, step: int) -> tuple[np.ndarray, ...]:
+    """Regions cut into blocks of at most `step` windows, at places that only the anchor fixes: region number, first window, windows, place of
+    the first in its block, hash of what all windows of the block have in common, hash of all its bytes (0 if unknown)."""
+    width = size - gram + 1
+    if len(text) > PIECE:  # region by region, so that no more than a region is hashed at once
+        parts = []
+        for k in range(len(first)):
+            low, high = max(0, int(first[k]) - width), min(len(text), int(first[k] + many[k]) + size + width)
+            own = blocks(text[low:high], first[k : k + 1] - low, many[k : k + 1], size, gram, step)
+            at = first[k] % (PIECE - size) == 0, (first[k] + many[k]) % (PIECE - size) == 0
+            # A region that may go on in the next piece could bring a block twice: its windows speak for themselves.
+            parts.append((own[0] + k, own[1] + low, *own[2:5], np.zeros_like(own[5]) if any(at) else own[5]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+    h = Hashes(np.frombuffer(text, np.uint8))
+    grams = h.every(gram)
+    anchor = _anchors(grams, first, width)
+    zero = anchor - (width - 1)  # the first window that could have this anchor
+    low, high = (first - zero) // step, (first + many - 1 - zero) // step
+    number = np.repeat(np.arange(len(first)), high - low + 1)
+    block = np.arange(len(number)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[number]
+    begin = zero[number] + block * step
+    start = np.maximum(begin, first[number])
+    n = np.minimum(begin + step, (first + many)[number]) - start
+    # Blocks of two anchors may be the same bytes; anchor and number keep them apart.
+    name = _mix(grams[anchor[number]] + block.astype(np.uint64))
+    core = h.at(begin + step - 1, begin + size) ^ name
+    inside = (begin >= 0) & (begin + step - 1 + size <= len(text))
+    whole = np.where(inside, h.at(np.where(inside, begin, 0), np.where(inside, begin + step - 1 + size, 0)) ^ name, np.uint64(0))
+    return number, start, n, start - begin, core, whole
+
+
+class _Blocks:
+    def __init__(self, size: int, gram: int, step: int):
+        self.size, self.gram, self.step = size, gram, step
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for t, text, listed in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+            first, many, known = (np.array([r[k] for r in listed]) for k in ("first", "many", "known"))
+            number, *rest = blocks(text, first, many, self.size, self.gram, self.step)
+            found.append((np.full(len(number), t, np.int64), known[number], *rest))
+        t, known, start, n, place, core, whole = (np.concatenate(x) for x in zip(*found))
+        names = ["t", "known", "first", "n", "place", "core", "whole"]
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(known), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))], names)
+
+
 class _Windows:
-    """Hashes of the windows of the regions listed with a text."""
+    """Hashes of the listed windows of a text."""
 
     def __init__(self, size: int):
         self.size = size
@@ -147,13 +202,24 @@ class _Windows:
         keys, hashes, places, known = [], [], [], []
         for t, text, listed in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
             for r in listed:
-                a, n = r["first"], r["many"]
+                a, n = r["first"], r["n"]
                 hashes.append(Hashes(np.frombuffer(text, np.uint8, n + self.size - 1, a)).every(self.size))
                 places.append(np.arange(a, a + n, dtype=np.int64))
                 known.append(np.full(n, r["known"]))
                 keys.append(np.full(n, t, np.int64))
-        join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        return pa.RecordBatch.from_arrays([pa.array(join(keys, np.int64)), pa.array(join(places, np.int64)), pa.array(join(hashes, np.uint64).view(np.int64)), pa.array(join(known, bool))], ["t", "first", "hash", "known"])
+        t, place, h, k = (np.concatenate(x) for x in (keys, places, hashes, known))
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(place), pa.array(h.view(np.int64)), pa.array(k)], ["t", "first", "hash", "known"])
+
+
+def _twice(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that stand for two places or more; a known row stands for two."""
+    return rows.groupBy(key).agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("c")).filter("c > 1").select(key)
+
+
+def _listed(docs: DataFrame, rows: DataFrame, *fields: str) -> DataFrame:
+    """(t, text, listed) for every text that rows name. Only texts that come once have rows that are not known, so copies need no care."""
+    lists = staged(rows.groupBy("t").agg(F.collect_list(F.struct(*fields)).alias("listed")), "listed")
+    return docs.join(if_small(lists), "t").select("t", "text", "listed")
 
 
 def repeated_spans(df: DataFrame, text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -166,12 +232,18 @@ def repeated_spans(df: DataFrame, text_col: str = "text", size: int = SIZE, gram
     kinds = staged(mixed.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("t", "first", "many")).alias("one")), "kinds")
     whole = shared.filter("not mixed").select("t", "first", "many").union(mixed.join(kinds.filter("c > 1").select("anchor", "region"), ["anchor", "region"], "left_semi").select("t", "first", "many"))
     spans = whole.select("t", "first", (F.col("first") + F.col("many") + (size - 1)).alias("end"))
-    listed = staged(kinds.select("one.*", (F.col("c") > 1).alias("known")).groupBy("t").agg(F.collect_list(F.struct("first", "many", "known")).alias("listed")), "listed")
-    # One row is enough of each text whose windows are wanted: copies were counted above, in `known`.
-    some = docs.join(if_small(listed), "t").groupBy("t").agg(F.first("text").alias("text"), F.first("listed").alias("listed"))
-    windows = staged(map_batches(some, _Windows(size), "t bigint, first bigint, hash bigint, known boolean"), "windows")
-    twice = windows.groupBy("hash").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("c")).filter("c > 1").select("hash")
-    single = windows.filter("not known").join(twice, "hash", "left_semi").select("t", "first", (F.col("first") + size).alias("end"))
+    cut = map_batches(_listed(docs, kinds.select("one.*", (F.col("c") > 1).alias("known")), "first", "many", "known"), _Blocks(size, gram, STEP), "t bigint, known boolean, first bigint, n int, place int, core bigint, whole bigint")
+    parts = staged(cut, "blocks")
+    # A block repeats whole if all its bytes do, and not at all if what its windows share does not; few are left between.
+    whole = _twice(parts.filter("whole <> 0"), "whole").withColumn("full", F.lit(True))
+    open_ = staged(parts.filter("not known").join(_twice(parts, "core"), "core", "left_semi").join(whole, "whole", "left").select("t", "first", "n", "core", F.coalesce("full", F.lit(False)).alias("full")), "open")
+    full = open_.filter("full").select("t", "first", (F.col("first") + F.col("n") + (size - 1)).alias("end"))
+    own = F.when(F.col("whole") != 0, F.col("whole")).otherwise(F.xxhash64("t", "first"))
+    asked = parts.join(open_.filter("not full").select("core").distinct(), "core", "left_semi").withColumn("own", own)
+    kinds = asked.groupBy("core", "own", "place", "n").agg(F.min(F.struct("t", "first")).alias("one"), F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("c"))
+    windows = map_batches(_listed(docs, kinds.select("one.*", "n", (F.col("c") > 1).alias("known")), "first", "n", "known"), _Windows(size), "t bigint, first bigint, hash bigint, known boolean")
+    windows = staged(windows, "windows")
+    single = full.union(windows.filter("not known").join(_twice(windows, "hash"), "hash", "left_semi").select("t", "first", (F.col("first") + size).alias("end")))
     together = spans.union(single).groupBy("t").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     return staged(map_batches(together, _merge, "t bigint, spans array<struct<first: bigint, end: bigint>>"), "spans")
 

@@ -81,7 +81,7 @@ def brute(corpus, size):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("size,gram", [(200, 40), (50, 10), (12, 4)])
+@pytest.mark.parametrize("size,gram", [(200, 40), (50, 10), (24, 6)])
 def test_removed_is_brute_force(docs, corpus, size, gram):
     assert rows(repeats.removed(docs, size=size, gram=gram)) == brute(corpus, size)
 
@@ -92,6 +92,30 @@ def test_removed_in_small_pieces_and_by_shuffles(docs, corpus, empty, monkeypatc
     assert repeats.removed(empty).count() == 0
 
 
+def test_removed_from_texts_of_many_pieces(spark, monkeypatch):
+    """With tiny pieces nearly every region is cut; the rows must not change."""
+    draw = np.random.default_rng(3)
+    say = lambda n: draw.integers(97, 101, n).astype(np.uint8).tobytes().decode()
+    a, b = say(3000), say(700)
+    data = [(0, a), (1, say(500) + a[300:1900] + say(90)), (2, b + b[:400] + a[2500:]), (3, say(2500)), (4, a[:1200] + "x" + a[1201:2000]), (5, "ab" * 900)]
+    monkeypatch.setattr(repeats, "PIECE", 777)
+    repeats._tables.cache_clear()
+    found = [t.encode() for _, t in data]
+    spans = {k: [] for k, _ in data}
+    parts = []
+    for number, first, many, anchor, region in repeats.regions(found, 200, 40):
+        parts += list(zip(number.tolist(), first.tolist(), many.tolist()))
+    for k, first, many in parts:
+        number, start, n, place, core, whole = repeats.blocks(found[k], np.array([first]), np.array([many]), 200, 40, 16)
+        spans[k] += [w for s, c in zip(start, n) for w in range(s, s + c)]
+    for k, t in enumerate(found):
+        assert sorted(spans[k]) == list(range(len(t) - 199)), "every window is in one block of one region"
+    monkeypatch.undo()
+    repeats._tables.cache_clear()
+    table = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert rows(repeats.removed(table)) == brute([(k, t) for k, t in data], 200)
+
+
 def test_regions_of_pieces():
     """A text longer than a piece has the same windows, each once."""
     text = np.random.default_rng(0).integers(97, 100, 3 * repeats.PIECE // 2).astype(np.uint8).tobytes()
