@@ -62,10 +62,16 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
-#: Rows of a few numbers each that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 400_000
+#: Bytes that a table may take in memory to be broadcast, taking ROW for a row of a few numbers and ITEM for each item of its arrays.
+BROADCAST_BYTES, ROW, ITEM = 96 << 20, 200, 100
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a staged table, marked for broadcast if it was counted to have at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, items: Column | None = None) -> bool:
+    """Whether df, a staged table, may be broadcast: its rows are counted, and the items of its array column if it has one."""
+    n, k = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if items is None else items), F.lit(0))).first()
+    return n * ROW + k * ITEM <= BROADCAST_BYTES
+
+
+def if_small(df: DataFrame, items: Column | None = None) -> DataFrame:
+    """df marked for broadcast if it is small; else a join with it shuffles."""
+    return F.broadcast(df) if is_small(df, items) else df

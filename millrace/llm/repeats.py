@@ -23,6 +23,7 @@ texts are read in overlapping pieces; an empty table gives an empty table; other
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import if_small, map_batches, staged, utf8
+from millrace.llm.common import fresh_path, is_small, map_batches, staged, utf8
 
 SIZE, GRAM = 200, 40
 #: Bytes hashed at once; a place in a piece takes PLACE bits of an ordering key.
@@ -216,15 +217,40 @@ def _twice(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("c")).filter("c > 1").select(key)
 
 
-def _listed(docs: DataFrame, rows: DataFrame, *fields: str) -> DataFrame:
-    """(t, text, listed) for every text that rows name. Only texts that come once have rows that are not known, so copies need no care."""
-    lists = staged(rows.groupBy("t").agg(F.collect_list(F.struct(*fields)).alias("listed")), "listed")
-    return docs.join(if_small(lists), "t").select("t", "text", "listed")
+class Texts:
+    """Rows with a key `__t`, the hash of their text, joined with lists by text three times.
 
+    Lists small enough are broadcast. Beyond that the rows are written once, bucketed by the key, so that only lists are shuffled for each join."""
 
-def repeated_spans(df: DataFrame, text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """Staged rows (t, spans): the hash of each text with repeats, and its maximal byte ranges {first, end} that repeat, in order."""
-    docs = df.select(F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text")).filter(F.octet_length("text") >= size)
+    def __init__(self, df: DataFrame, text_col: str):
+        self.rows, self.text_col, self.bucketed = df.withColumn("__t", F.xxhash64(F.col(text_col).cast("string"))), text_col, False
+
+    def view(self, rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(F.col("__t").alias("t"), F.col(self.text_col).cast("string").alias("text"), *more)
+
+    def docs(self, size: int) -> DataFrame:
+        return self.view(self.rows).filter(F.octet_length("text") >= size)
+
+    def joined(self, lists: DataFrame, field: str, how: str = "inner") -> DataFrame:
+        """The rows with the list of their text (staged rows __t and an array `field`)."""
+        if is_small(lists, F.size(field)):
+            return self.rows.join(F.broadcast(lists), "__t", how)
+        if not self.bucketed:
+            spark = self.rows.sparkSession
+            n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"millrace_{uuid.uuid4().hex}"
+            self.rows.repartition(n, "__t").write.bucketBy(n, "__t").option("path", fresh_path(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
+            self.rows, self.bucketed = spark.table(name), True
+        return self.rows.join(lists, "__t", how)
+
+    def listed(self, rows: DataFrame, *fields: str) -> DataFrame:
+        """(t, text, __listed) for every text that rows (with t) name. Only texts that come once have rows that are not known, so copies need no care."""
+        lists = staged(rows.groupBy(F.col("t").alias("__t")).agg(F.collect_list(F.struct(*fields)).alias("__listed")), "listed")
+        return self.view(self.joined(lists, "__listed"), "__listed")
+
+
+def repeated_spans(texts: Texts, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """Staged rows (__t, __spans): the hash of each text with repeats, and its maximal byte ranges {first, end} that repeat, in order."""
+    docs = texts.docs(size)
     found = map_batches(docs, _Regions(size, gram), "t bigint, first bigint, many int, anchor bigint, region bigint")
     groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("region").alias("low"), F.max("region").alias("high")).filter("c > 1")
     shared = staged(found.join(groups.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "regions")
@@ -232,7 +258,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", size: int = SIZE, gram
     kinds = staged(mixed.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("t", "first", "many")).alias("one")), "kinds")
     whole = shared.filter("not mixed").select("t", "first", "many").union(mixed.join(kinds.filter("c > 1").select("anchor", "region"), ["anchor", "region"], "left_semi").select("t", "first", "many"))
     spans = whole.select("t", "first", (F.col("first") + F.col("many") + (size - 1)).alias("end"))
-    cut = map_batches(_listed(docs, kinds.select("one.*", (F.col("c") > 1).alias("known")), "first", "many", "known"), _Blocks(size, gram, STEP), "t bigint, known boolean, first bigint, n int, place int, core bigint, whole bigint")
+    cut = map_batches(texts.listed(kinds.select("one.*", (F.col("c") > 1).alias("known")), "first", "many", "known"), _Blocks(size, gram, STEP), "t bigint, known boolean, first bigint, n int, place int, core bigint, whole bigint")
     parts = staged(cut, "blocks")
     # A block repeats whole if all its bytes do, and not at all if what its windows share does not; few are left between.
     whole = _twice(parts.filter("whole <> 0"), "whole").withColumn("full", F.lit(True))
@@ -241,16 +267,16 @@ def repeated_spans(df: DataFrame, text_col: str = "text", size: int = SIZE, gram
     own = F.when(F.col("whole") != 0, F.col("whole")).otherwise(F.xxhash64("t", "first"))
     asked = parts.join(open_.filter("not full").select("core").distinct(), "core", "left_semi").withColumn("own", own)
     kinds = asked.groupBy("core", "own", "place", "n").agg(F.min(F.struct("t", "first")).alias("one"), F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("c"))
-    windows = map_batches(_listed(docs, kinds.select("one.*", "n", (F.col("c") > 1).alias("known")), "first", "n", "known"), _Windows(size), "t bigint, first bigint, hash bigint, known boolean")
+    windows = map_batches(texts.listed(kinds.select("one.*", "n", (F.col("c") > 1).alias("known")), "first", "n", "known"), _Windows(size), "t bigint, first bigint, hash bigint, known boolean")
     windows = staged(windows, "windows")
     single = full.union(windows.filter("not known").join(_twice(windows, "hash"), "hash", "left_semi").select("t", "first", (F.col("first") + size).alias("end")))
     together = spans.union(single).groupBy("t").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    return staged(map_batches(together, _merge, "t bigint, spans array<struct<first: bigint, end: bigint>>"), "spans")
+    return staged(map_batches(together, _merge, "__t bigint, __spans array<struct<first: bigint, end: bigint>>"), "spans")
 
 
 def _merge(batch: pa.RecordBatch) -> pa.RecordBatch:
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"first": a, "end": b} for a, b in merged(s)] for s in batch.column(1).to_pylist()], kind)], ["t", "spans"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"first": a, "end": b} for a, b in merged(s)] for s in batch.column(1).to_pylist()], kind)], ["__t", "__spans"])
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -276,15 +302,14 @@ def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _with_spans(df: DataFrame, text_col: str, size: int, gram: int, columns: list) -> DataFrame:
-    spans = if_small(repeated_spans(df, text_col, size, gram))
-    rows = df.select(*columns, F.xxhash64(F.col(text_col).cast("string")).alias("__t"))
-    return rows.join(spans.withColumnRenamed("t", "__t").withColumnRenamed("spans", "__spans"), "__t", "left").drop("__t")
+def _with_spans(df: DataFrame, text_col: str, size: int, gram: int) -> DataFrame:
+    texts = Texts(df, text_col)
+    return texts.joined(repeated_spans(texts, size, gram), "__spans", "left").select(*df.columns, "__spans")
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """One row for each row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = _with_spans(df, text_col, size, gram, [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")])
+    rows = _with_spans(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")), "text", size, gram)
     return map_batches(rows, _digest, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
@@ -301,5 +326,5 @@ class _Cut:
 
 def without_repeats(df: DataFrame, text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """df with the repeated bytes cut out of its text; signs that a cut splits go too. Every row stays, if with an empty text."""
-    rows = _with_spans(df, text_col, size, gram, [F.col(c) for c in df.columns])
+    rows = _with_spans(df, text_col, size, gram)
     return map_batches(rows, _Cut(df.columns.index(text_col)), df.schema.simpleString()[len("struct<") : -1])

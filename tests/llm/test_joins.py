@@ -87,7 +87,7 @@ def test_removed_is_brute_force(docs, corpus, size, gram):
 
 
 def test_removed_in_small_pieces_and_by_shuffles(docs, corpus, empty, monkeypatch):
-    monkeypatch.setattr(repeats, "if_small", lambda df: df)
+    monkeypatch.setattr(repeats, "is_small", lambda df, items=None: False)
     assert rows(repeats.removed(docs)) == brute(corpus, 200)
     assert repeats.removed(empty).count() == 0
 
