@@ -42,6 +42,29 @@ def crc_mod(column: str, n: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+_kept: dict[str, object] = {}
+
+
+def remember(key: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task, such as a model or a memory of words: one thing at a time, so that operators that follow each
+    other in a session do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+#: Bytes of an Arrow batch; the workers hold a few batches at once, and so does the JVM beside its heap.
+BATCH_BYTES = 8 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch, so that long texts do not make large ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One output batch for each Arrow batch. step is built on the executor's side once for each task if it has an `open` method."""
 
@@ -54,6 +77,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
                     yield out
 
     ship(df.sparkSession)
+    modest_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

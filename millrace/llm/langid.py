@@ -24,12 +24,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, utf8
+from millrace.llm.common import map_batches, remember, utf8
 
 ORDER, BITS = 5, 12
 PAD, END = "\1", "\2"
 #: 5-grams in a model; rows that calibrate rejection; chunks that a worker remembers; bytes of text and new words scored at once.
-MAX_NGRAMS, CALIBRATION_ROWS, REMEMBERED, AT_ONCE, WORDS = 1_000_000, 4000, 400_000, 2_000_000, 10_000
+MAX_NGRAMS, CALIBRATION_ROWS, REMEMBERED, AT_ONCE, WORDS = 1_000_000, 4000, 250_000, 2_000_000, 10_000
 _RUNS = regex.compile(r"\p{L}+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -191,18 +191,13 @@ class Scorer(dict):
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 class _Predict:
     def __init__(self, model: Model, token: str):
         self.model, self.token = model, token
 
     def open(self):
-        if self.token not in _scorers:
-            _scorers.clear()
-            _scorers[self.token] = Scorer(self.model)
-        scorer, model = _scorers[self.token], self.model
+        scorer = remember(f"languages {self.token}", lambda: Scorer(self.model))
+        model = scorer.model
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sums = scorer.score(utf8(batch.column(batch.num_columns - 1)))

@@ -17,7 +17,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -28,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, staged, utf8
+from millrace.llm.common import map_batches, remember, staged, utf8
 from millrace.llm.tokencount import _TO_LETTERS, load
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a worker remembers; only speed depends on it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Pieces above this share of a sequence are large; they are rounded into so many groups.
 LARGE, GROUPS = 1 / 8, 28
 
@@ -43,10 +42,9 @@ _PLAIN = regex.compile(r"(?:(?!<\|)[\x21-\x7e\xa1-\xac\xae-\xff])+").fullmatch
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 
 
-@lru_cache(maxsize=2)
 def remembered(path: str) -> "_Ids":
     """One memory for each worker, whatever the number of tasks that it runs."""
-    return _Ids(path)
+    return remember(f"ids {path}", lambda: _Ids(path))
 
 
 class _Ids(dict):

@@ -18,10 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import map_batches, utf8
+from millrace.llm.common import map_batches, remember, utf8
 
 #: Chunks whose counts a worker remembers; only speed depends on it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 _BROKEN = -(1 << 48)
@@ -97,20 +97,12 @@ class Counts(dict):
         return self.merged(first) + sum(self.merged(" " + x) for x in rest)
 
 
-_remembered: dict[str, Counts] = {}
-
-
-def remembered(path: str, whole: frozenset[str]) -> Counts:
-    """One memory for each worker, whatever the number of tasks that it runs."""
-    return _remembered.get(path) or _remembered.setdefault(path, Counts(path, whole))
-
-
 class _Step:
     def __init__(self, path: str, whole: frozenset[str], limit: int):
         self.path, self.whole, self.limit = path, whole, limit
 
     def open(self):
-        counts = remembered(self.path, self.whole)
+        counts = remember(f"counts {self.path}", lambda: Counts(self.path, self.whole))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = utf8(batch.column(1))

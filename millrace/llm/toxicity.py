@@ -24,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_mod, map_batches, staged, utf8
+from millrace.llm.common import crc_mod, map_batches, remember, staged, utf8
 
-MAX_ROWS, MAX_WORDS, REMEMBERED = 20_000, 50_000, 400_000
+MAX_ROWS, MAX_WORDS, REMEMBERED = 20_000, 50_000, 250_000
 #: Strength of the prior as a share of all words counted; least z and log-odds of a toxic word; score of any other word; segments listed
 #: must be rarer than this.
 PRIOR, LEAST_Z, LEAST_ODDS, OTHER, RARE = 0.03, 3.0, 2.5, -0.05, 0.01
@@ -84,18 +84,13 @@ class Lexicon(dict):
         return s
 
 
-_lexicons: dict[str, Lexicon] = {}
-
-
 class _Score:
     def __init__(self, words: dict[str, float], rate: float):
         self.words, self.rate, self.token = words, rate, uuid.uuid4().hex
 
     def open(self):
-        if self.token not in _lexicons:
-            _lexicons.clear()
-            _lexicons[self.token] = Lexicon(self.words)
-        get, rate = _lexicons[self.token].__getitem__, self.rate
+        lexicon = remember(f"toxic {self.token}", lambda: Lexicon(self.words))
+        get, rate = lexicon.__getitem__, self.rate
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             evidence, best, spans = [], [], []

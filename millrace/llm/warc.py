@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh_path, staged
+from millrace.llm.common import fresh_path, modest_batches, staged
 from millrace.ship import ship
 
 LEAST, LEVEL, ARCHIVE_BYTES, FAN_IN, SAMPLE_EVERY = 1000, 1, 64 << 20, 64, 500
@@ -97,6 +97,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Writes the archives; returns their manifest: archive, records, bytes."""
     spark = pages.sparkSession
     ship(spark)
+    modest_batches(spark)
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
     page = pages[id_col].cast("bigint")
     ts = F.coalesce(pages[ts_col].cast("timestamp").cast("bigint") if ts_col else F.lit(None).cast("bigint"), F.lit(EPOCH) + F.pmod(F.coalesce(page, F.lit(0)), F.lit(10**9)))
