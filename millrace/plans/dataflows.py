@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import metrics, text
+from millrace.functions import inference, metrics, text
 from millrace.operators import agents, asof, crawl
 from millrace.plans.registry import query, table
-from millrace.sources import generators
+from millrace.sources import connectors, generators
 from millrace.sources.store import Group, Store
 from millrace.streaming import events as streams
 from millrace.workspace import fresh_path
@@ -230,3 +230,38 @@ def stream_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store.create(spark, fresh_path(spark, "events"), T.StructType.fromDDL("event_id bigint, user_id bigint, value double"), [Group("all", ("event_id",), ("user_id", "value"))])
     streams.commit_stream(_events(spark, sf_dir).select("event_id", "user_id", "value"), store, "events", fresh_path(spark, "state"))
     return store.read()
+
+
+@query("select 10::bigint as n, 55::bigint as total")
+def stream_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.dataSource.register(generators.NumbersSource)
+    found = streams.finished(spark.readStream.format("millrace_numbers").option("rate", 10).load(), "append", "numbers")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("bigint")).alias("total"))
+
+
+@query("select quantile_cont(d, 0.5) as p50, quantile_cont(d, 0.9) as p90, count(*) as n from (select (event_id % 97)::double as d from events) t")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("ts").alias("sent"), (F.col("ts").cast("timestamp") + F.expr("make_dt_interval(0, 0, 0, cast(event_id % 97 as decimal(18,6)) / 1000)")).alias("received"))
+    return connectors.latency(rows, F.col("sent"), F.col("received")).select("p50", "p90", "n")
+
+
+# Models and table functions
+
+def _length_model():
+    return lambda values: values.str.len() * 0.5
+
+
+@query("select doc_id, cast(length(text) * 0.5 as double) as score from documents")
+def infer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.scored(table(spark, sf_dir, "documents"), "text", _length_model).select("doc_id", "score")
+
+
+@query(f"select page_id, len(regexp_extract_all(html, '{_HREF}', 1)) as n from pages where len(regexp_extract_all(html, '{_HREF}', 1)) > 0")
+def udtf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.udtf.register("anchor_links", inference.AnchorLinks)
+    return spark.sql("select page_id, count(*) as n from {pages}, lateral anchor_links(html) group by page_id", pages=table(spark, sf_dir, "pages"))
+
+
+@query("select n_nationkey, (n_nationkey & 1) | ((n_regionkey & 1) << 1) | (((n_nationkey >> 1) & 1) << 2) | (((n_regionkey >> 1) & 1) << 3)::bigint as z from nation".replace("select n_nationkey, (", "select n_nationkey, ((").replace("<< 3)::bigint", "<< 3))::bigint"))
+def zorder_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", inference.zorder(F.col("n_nationkey"), F.col("n_regionkey"), bits=2).alias("z"))

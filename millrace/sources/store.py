@@ -53,9 +53,7 @@ class Store:
             raise ValueError("every column that is no id belongs to one group")
         store = cls(spark, root, schema, groups)
         store.log.init()
-        spec = lambda p: None if p is None else {"keys": list(p.keys), "parts": p.parts} if isinstance(p, KeyHash) else {"key": p.key, "size": p.size}
-        config = {"schema": schema.jsonValue(), "groups": [{"name": g.name, "ids": g.ids, "columns": g.columns, "partition": spec(g.partition)} for g in groups]}
-        store.files.create(f"{store.root}/store.json", json.dumps(config).encode())
+        store._configure()
         return store
 
     @classmethod
@@ -196,15 +194,27 @@ class Store:
             tiles += self._write(self._group(g, before, commits, list(g.columns)), g, f"{self.root}/objects/checkpoint-{commit.id}/{g.name}", PART_BYTES)
         self.log.put_checkpoint(commit.id, tiles)
 
-    def squash(self, branch: str, onto: object, message: str = "squash") -> Commit:
-        """A new branch tip that holds all of a version as one commit on another."""
-        rows = self.read(Ref(branch))
-        return self.append(rows, branch=f"{branch}-squashed", message=message) if self._ensure(f"{branch}-squashed", onto) else None
-
-    def _ensure(self, name: str, at: object) -> bool:
-        if name not in self.log.branches():
-            self.log.branch(name, at)
-        return True
+    def repartition(self, group: str, partition: KeyHash | Window | None, ref: object = Ref()) -> Store:
+        """Gives a group another partition spec: the version is written anew as a checkpoint, and later appends follow the spec."""
+        groups = [Group(g.name, g.ids, g.columns, partition) if g.name == group else g for g in self.groups]
+        if groups == self.groups:
+            return self
+        self.groups = groups
+        self._configure(overwrite=True)
+        self.checkpoint(ref)
+        return self
+
+    def _configure(self, overwrite: bool = False) -> None:
+        spec = lambda p: None if p is None else {"keys": list(p.keys), "parts": p.parts} if isinstance(p, KeyHash) else {"key": p.key, "size": p.size}
+        config = {"schema": self.schema.jsonValue(), "groups": [{"name": g.name, "ids": g.ids, "columns": g.columns, "partition": spec(g.partition)} for g in self.groups]}
+        if overwrite:
+            self.files.delete(f"{self.root}/store.json")
+        self.files.create(f"{self.root}/store.json", json.dumps(config).encode())
+
+    def squash(self, branch: str, onto: object, name: str, message: str = "squash") -> Commit:
+        """A new branch at `onto` with all that another branch holds as one commit on top."""
+        self.log.branch(name, onto)
+        return self.append(self.read(Ref(branch)), branch=name, message=message)
 
     def vacuum(self) -> list[str]:
         """Deletes data that no commit or checkpoint reachable from a branch names; returns the folders."""

@@ -187,3 +187,22 @@ def test_catalog(spark):
 def test_numbers_source_streams(spark):
     spark.dataSource.register(NumbersSource)
     assert rows(spark.read.format("millrace_numbers").load()) == sorted((str(k),) for k in range(1, 11))
+
+
+def test_repartition_and_squash(spark):
+    store = make(spark)
+    for commit in OVERLAP:
+        put(spark, store, commit)
+    store.repartition("cg2", KeyHash(("id",), 3))
+    assert Store.open(spark, store.root).groups[1].partition.parts == 3
+    put(spark, store, [(7, 7, 7)])
+    assert rows(store.read(columns=["id", "c", "d"])) == [*OVERLAP[2], (7, 7, 7)]
+    store.squash("main", "main@{3}", "short")
+    assert rows(store.read(Ref("short"), ["id", "c", "d"])) == [*OVERLAP[2], (7, 7, 7)] and len(store.log.history(Ref("short"))) == 2
+
+
+def test_log_sink(spark):
+    from millrace.sources.connectors import LogSink
+
+    spark.dataSource.register(LogSink)
+    spark.range(3).write.format("millrace_log").mode("append").save()
