@@ -46,8 +46,10 @@ def markers(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, most: int =
     few = staged(known.orderBy(F.xxhash64("known"), "known").limit(sample), "sample")  # bounded by `sample`
     words = docs.join(F.broadcast(few), F.col("id") == F.col("known")).select(F.col("domain").endswith("t1").alias("toxic"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), F.lit(1)))).alias("word"))
     counts = words.groupBy("word").agg(F.sum(F.col("toxic").cast("int")).alias("a"), F.sum((~F.col("toxic")).cast("int")).alias("b"))
-    found = counts.filter((F.col("a") >= 5) & (F.col("a") >= 3 * F.col("b"))).orderBy(F.desc(F.col("a") / (F.col("b") + 5)), "word").limit(most).collect()
-    return [r["word"] for r in found]
+    worth = F.col("a") / (F.col("b") + 5)
+    found = counts.filter((F.col("a") >= 5) & (F.col("a") >= 3 * F.col("b"))).select("word", worth.alias("worth")).orderBy(F.desc("worth"), "word").limit(most).collect()
+    # Words far behind the best come from copies of single documents.
+    return [r["word"] for r in found if r["worth"] >= found[0]["worth"] / 3]
 
 
 def measures(docs: DataFrame, words: list[str], *keep: str) -> DataFrame:
@@ -57,8 +59,9 @@ def measures(docs: DataFrame, words: list[str], *keep: str) -> DataFrame:
     count = lambda c, p: F.regexp_count(c, F.lit(p)).cast("double")
     marked = count(F.lower("text"), "\\b(?:" + "|".join(words) + ")\\b") if words else F.lit(0.0)
     rows = rows.select("id", "t", *keep, F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("tokens"), F.length("text").cast("double").alias("chars"), count("text", "[#*$%&|<>]").alias("symbols"), count("text", "\\p{Lu}").alias("upper"), marked.alias("marked"))
-    chars = F.greatest("chars", F.lit(1.0))
-    return rows.select("id", "t", *keep, "tokens", F.log1p("tokens").alias("x_words"), F.least(F.col("chars") / F.greatest("tokens", F.lit(1)), F.lit(50.0)).alias("x_length"), F.log(F.col("symbols") / chars + 0.001).alias("x_symbols"), F.log(F.col("upper") / chars + 0.001).alias("x_upper"), F.log1p("marked").alias("x_markers"))
+    # Shares are drawn towards usual ones as if every text had fifty more words, so that a short text's few signs say little.
+    chars, tokens = F.col("chars") + 300, F.col("tokens") + 50
+    return rows.select("id", "t", *keep, "tokens", F.log1p("tokens").alias("x_words"), F.least(chars / tokens, F.lit(50.0)).alias("x_length"), F.log((F.col("symbols") + 0.3) / chars).alias("x_symbols"), F.log((F.col("upper") + 6) / chars).alias("x_upper"), F.log1p("marked").alias("x_markers"))
 
 
 def classifier(rows: DataFrame, known: DataFrame) -> dict[str, dict]:
