@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from millrace.workspace import Files, fresh_path
+
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's source files to the session, once for each application."""
+    """Adds the package's source files to the session by way of the shared folder, once for each application."""
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace.zip"  # on the driver only; Spark's file server hands it out
-    with zipfile.ZipFile(archive, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    context.addPyFile(str(archive))
+    archive = f"{fresh_path(spark, 'code')}/millrace.zip"
+    Files(spark).create(archive, data.getvalue())
+    context.addPyFile(archive)
     _sent.add(context.applicationId)
