@@ -1,10 +1,8 @@
-"""Shared helpers: the cluster's shared folder, staged tables and Arrow mapping."""
+"""Shared helpers: staged tables, bounded broadcasts and Arrow mapping."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,24 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.ship import ship
+from millrace.workspace import fresh_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see, from spark.checkpoint.dir; a new local one only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
