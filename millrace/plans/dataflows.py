@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from millrace.functions import inference, metrics, text
 from millrace.operators import agents, asof, crawl
 from millrace.plans.registry import query, table
+from millrace.ship import ship
 from millrace.sources import connectors, generators
 from millrace.sources.store import Group, Store
 from millrace.streaming import events as streams
@@ -120,7 +121,7 @@ def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 10::bigint as n, 55::bigint as total")
 def data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(generators.NumbersSource)
+    generators.register_numbers(spark)
     return spark.read.format("millrace_numbers").load().agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("bigint")).alias("total"))
 
 
@@ -234,7 +235,7 @@ def stream_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select 10::bigint as n, 55::bigint as total")
 def stream_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.dataSource.register(generators.NumbersSource)
+    generators.register_numbers(spark)
     found = streams.finished(spark.readStream.format("millrace_numbers").option("rate", 10).load(), "append", "numbers")
     return found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("bigint")).alias("total"))
 
@@ -258,6 +259,7 @@ def infer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select page_id, len(regexp_extract_all(html, '{_HREF}', 1)) as n from pages where len(regexp_extract_all(html, '{_HREF}', 1)) > 0")
 def udtf_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     spark.udtf.register("anchor_links", inference.AnchorLinks)
     return spark.sql("select page_id, count(*) as n from {pages}, lateral anchor_links(html) group by page_id", pages=table(spark, sf_dir, "pages"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -19,6 +21,12 @@ def stepped_rows(spark: SparkSession, start: int, rows: int, offsets: dict[str,
     return spark.range(rows).select((F.col("id") + start).cast("int").alias("id"), *((F.lit(o) + 2 * F.col("id")).cast("int").alias(c) for c, o in offsets.items()))
 
 
+def register_numbers(spark: SparkSession) -> None:
+    """Makes the format millrace_numbers known. Its classes travel by value, as workers that plan streams import nothing sent along."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(NumbersSource)
+
+
 class _Span(InputPartition):
     def __init__(self, first: int, end: int):
         self.first, self.end = first, end

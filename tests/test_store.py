@@ -9,7 +9,7 @@ from support import rows
 from millrace.operators.merge import fold, fold_by_joins
 from millrace.operators.partition import KeyHash, Window, siphash13, siphash_part
 from millrace.sources.documents import Catalog
-from millrace.sources.generators import NumbersSource
+from millrace.sources.generators import register_numbers
 from millrace.sources.log import Ancestor, AsOf, LogError, PriorCheckpoint, Ref, parse
 from millrace.sources.store import Group, Store
 from millrace.workspace import fresh_path
@@ -185,7 +185,7 @@ def test_catalog(spark):
 
 
 def test_numbers_source_streams(spark):
-    spark.dataSource.register(NumbersSource)
+    register_numbers(spark)
     assert rows(spark.read.format("millrace_numbers").load()) == sorted((str(k),) for k in range(1, 11))
 
 
