@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh_path, is_small, map_batches, staged, utf8
+from millrace.llm.common import fresh_path, map_batches, staged, utf8
 
 SIZE, GRAM = 200, 40
 #: Bytes hashed at once; a place in a piece takes PLACE bits of an ordering key.
@@ -220,7 +220,7 @@ def _twice(rows: DataFrame, key: str) -> DataFrame:
 class Texts:
     """Rows with a key `__t`, the hash of their text, joined with lists by text three times.
 
-    Lists small enough are broadcast. Beyond that the rows are written once, bucketed by the key, so that only lists are shuffled for each join."""
+    The rows are written once, bucketed by the key, so that at every size only lists are shuffled for each join."""
 
     def __init__(self, df: DataFrame, text_col: str):
         self.rows, self.text_col, self.bucketed = df.withColumn("__t", F.xxhash64(F.col(text_col).cast("string"))), text_col, False
@@ -231,10 +231,8 @@ class Texts:
     def docs(self, size: int) -> DataFrame:
         return self.view(self.rows).filter(F.octet_length("text") >= size)
 
-    def joined(self, lists: DataFrame, field: str, how: str = "inner") -> DataFrame:
-        """The rows with the list of their text (staged rows __t and an array `field`)."""
-        if is_small(lists, F.size(field)):
-            return self.rows.join(F.broadcast(lists), "__t", how)
+    def joined(self, lists: DataFrame, how: str = "inner") -> DataFrame:
+        """The rows with the list of their text (staged rows with __t)."""
         if not self.bucketed:
             spark = self.rows.sparkSession
             n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"millrace_{uuid.uuid4().hex}"
@@ -245,7 +243,7 @@ class Texts:
     def listed(self, rows: DataFrame, *fields: str) -> DataFrame:
         """(t, text, __listed) for every text that rows (with t) name. Only texts that come once have rows that are not known, so copies need no care."""
         lists = staged(rows.groupBy(F.col("t").alias("__t")).agg(F.collect_list(F.struct(*fields)).alias("__listed")), "listed")
-        return self.view(self.joined(lists, "__listed"), "__listed")
+        return self.view(self.joined(lists), "__listed")
 
 
 def repeated_spans(texts: Texts, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -304,7 +302,7 @@ def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _with_spans(df: DataFrame, text_col: str, size: int, gram: int) -> DataFrame:
     texts = Texts(df, text_col)
-    return texts.joined(repeated_spans(texts, size, gram), "__spans", "left").select(*df.columns, "__spans")
+    return texts.joined(repeated_spans(texts, size, gram), "left").select(*df.columns, "__spans")
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:

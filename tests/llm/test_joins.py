@@ -86,9 +86,7 @@ def test_removed_is_brute_force(docs, corpus, size, gram):
     assert rows(repeats.removed(docs, size=size, gram=gram)) == brute(corpus, size)
 
 
-def test_removed_in_small_pieces_and_by_shuffles(docs, corpus, empty, monkeypatch):
-    monkeypatch.setattr(repeats, "is_small", lambda df, items=None: False)
-    assert rows(repeats.removed(docs)) == brute(corpus, 200)
+def test_removed_from_nothing(empty):
     assert repeats.removed(empty).count() == 0
 
 
