@@ -1,12 +1,12 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Every language that the training rows name gets a model of order 5 over the letters of its words, each word padded, so no context
-crosses a word. Counts cover all training rows: tasks count the 5-grams of their distinct words, Spark adds the counts up. The models
-are stored as sorted arrays of hashed n-grams, one row of log probabilities per n-gram and one column per language; an absent n-gram
-backs off to the next shorter one. A text goes to the language with the lowest cross-entropy per letter. It is rejected if it has no
+crosses a word. Counts cover all training rows: tasks count the 5-grams of their distinct words, Spark adds the counts up and gets the
+lower orders, discounts and contexts from all of them. The counts are stored as sorted arrays of hashed n-grams, cut into shards in the
+shared folder, which workers map; probabilities are made from them at lookup, and an absent n-gram backs off to the next shorter one. A text goes to the language with the lowest cross-entropy per letter. It is rejected if it has no
 letter, or if that cross-entropy is further above the language's usual one than (nearly) any training text's is.
 
-`max_ngrams` bounds the fitted model, which is sent to every worker: the most frequent 5-grams over all languages are kept.
+Every n-gram is kept: the model grows with the training text on disk, in files of about a million rows, and not in what is sent.
 
 Cases: null or letterless text: `und`, score 0, rejected; ties go to the language first in order; no training rows: all `und`;
 repeated rows each count and each give a row; very long texts are read whole; an empty table gives an empty table; other columns pass
@@ -15,23 +15,27 @@ by, so clashing names do no harm.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, remember, utf8
+from millrace.llm.common import fresh_path, map_batches, remember, staged, utf8
 
 ORDER, BITS = 5, 12
 PAD, END = "\1", "\2"
-#: 5-grams in a model; rows that calibrate rejection; chunks that a worker remembers; bytes of text and new words scored at once.
-MAX_NGRAMS, CALIBRATION_ROWS, REMEMBERED, AT_ONCE, WORDS = 1_000_000, 4000, 250_000, 2_000_000, 10_000
+#: Rows in a shard; rows that calibrate rejection; chunks that a worker remembers; bytes of text and new words scored at once.
+SHARD_ROWS, CALIBRATION_ROWS, REMEMBERED, AT_ONCE, WORDS = 1_000_000, 4000, 250_000, 2_000_000, 10_000
 _RUNS = regex.compile(r"\p{L}+").findall
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,80 +71,185 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([langs, pa.array(join(1, np.int64)), pa.array(join(2, np.int64))], ["lang", "gram", "n"])
 
 
-class SortedHashes:
-    """Rows of values found by key: keys are hashed, the hashes sorted."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        hashes = keys * _MIX
-        order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], np.vstack([values[order], np.full((1, values.shape[1]), np.nan, np.float32)])
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The rows of values, nan where a key is absent."""
-        h = keys * _MIX
-        at = np.searchsorted(self.hashes, h)
-        np.minimum(at, len(self.hashes) - 1, out=at)
-        return self.values[np.where(self.hashes[at] == h, at, len(self.hashes))] if len(self.hashes) else self.values[np.full(len(h), -1)]
+def _hashed(kind: int, keys: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(kind, key) of bigints."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(1, 42, np.uint64)
+    for x in (np.full(1, kind, np.uint64), keys):
+        h = turn((h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
+class Shards:
+    """Rows (hash, language, a, b) sorted by hash and language and cut by the first `bits` bits of the hash: arrays, or files in the shared
+    folder, which are mapped into memory where that folder is local, so that a worker holds only what it touches."""
+
+    def __init__(self, parts: dict[int, tuple | str], bits: int, width: int):
+        self.parts, self.bits, self.width, self.opened = parts, bits, width, {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"opened": {}}
+
+    def _open(self, k: int) -> tuple:
+        if k not in self.opened:
+            part = self.parts[k]
+            if isinstance(part, str):
+                system, at = fs.FileSystem.from_uri(part)
+                rows = pa.ipc.open_file(pa.memory_map(at) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(at)).get_batch(0)
+                part = tuple(rows.column(j).to_numpy() for j in range(4))
+            self.opened[k] = part
+        return self.opened[k]
+
+    def get(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """a and b by language for each key, 0 where there is no row."""
+        wanted, where = np.unique(_hashed(kind, keys), return_inverse=True)
+        a, b = np.zeros((2, len(wanted), self.width))
+        ends = np.searchsorted(wanted >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        for k in self.parts:
+            begin, end = ends[k], ends[k + 1]
+            if begin == end:
+                continue
+            hashes, lang, va, vb = self._open(k)
+            row, at = np.arange(begin, end), np.searchsorted(hashes, wanted[begin:end])
+            while True:
+                fits = at < len(hashes)
+                row, at = row[fits], at[fits]
+                fits = hashes[at] == wanted[row]
+                row, at = row[fits], at[fits]
+                if not len(row):
+                    break
+                a[row, lang[at]], b[row, lang[at]] = va[at], vb[at]
+                at = at + 1
+        return a[where], b[where]
 
 
 @dataclass
 class Model:
+    """Counts of the n-grams of order n are rows of kind n, totals and kinds of what follows a context rows of kind ORDER + n."""
+
     langs: list[str]
-    grams: list[SortedHashes] = field(default_factory=list)
-    backoff: list[SortedHashes] = field(default_factory=list)
-    floor: np.ndarray | None = None
+    rows: Shards | None = None
+    discounts: np.ndarray | None = None
     usual: np.ndarray | None = None
     spread: np.ndarray | None = None
     limit: float = np.inf
 
     def log_p(self, keys: np.ndarray) -> np.ndarray:
         """Log probability of each packed 5-gram's last letter, by language."""
-        found = self.grams[0].get(_suffix(keys, 1))
-        lp = np.where(np.isnan(found), self.floor, found)
-        for n in range(2, ORDER + 1):
-            own = _suffix(keys, n)
-            found, weight = self.grams[n - 1].get(own), self.backoff[n - 1].get(own >> np.uint64(BITS))
-            lp = np.where(np.isnan(found), lp + np.nan_to_num(weight), found)
-        return lp
+        keys, where = np.unique(keys, return_inverse=True)
+        p = np.full((len(keys), len(self.langs)), 1 / (1 << BITS))
+        for n in range(1, ORDER + 1):
+            own, d = _suffix(keys, n), self.discounts[n - 1]
+            count, _ = self.rows.get(n, own)
+            total, kinds = self.rows.get(ORDER + n, own >> np.uint64(BITS))
+            p = np.where(total > 0, (np.maximum(count - d, 0) + d * kinds * p) / np.maximum(total, 1), p)
+        return np.log(p)[where]
+
+    def usual_from(self, sums: np.ndarray) -> None:
+        """usual and spread from each language's number of letters and the sums of their entropies and squared entropies."""
+        weight = np.maximum(sums[0], 1)
+        self.usual = sums[1] / weight
+        self.spread = np.sqrt(np.maximum(sums[2] / weight - self.usual**2, 1e-6))
+
+
+def _discount(n1, n2):
+    return np.minimum(0.95, np.maximum(0.1, np.where(n1 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5)))
+
+
+def _own_entropy(model: Model, lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    own = -model.log_p(gram.astype(np.uint64))[np.arange(len(gram)), lang] if len(gram) else np.empty(0)
+    return np.array([np.bincount(lang, n * own**k, len(model.langs)) for k in range(3)])
 
 
 def kneser_ney(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
-    """Interpolated Kneser-Ney models from 5-gram counts (lang: index into langs)."""
-    model = Model(langs)
-    tables = [[] for _ in range(ORDER)]
-    model.floor = np.zeros(len(langs), np.float32)
+    """Interpolated Kneser-Ney models from 5-gram counts in memory (lang: index into langs); train() has Spark count the same."""
+    rows, model = [], Model(langs, discounts=np.full((ORDER, len(langs)), 0.5))
     for k in range(len(langs)):
         keys, counts = gram[lang == k].astype(np.uint64), n[lang == k].astype(float)
-        order = np.argsort(keys)
-        levels = [(keys[order], counts[order])]
-        for size in range(ORDER - 1, 0, -1):  # lower orders count the letters that come before
-            levels.insert(0, np.unique(_suffix(levels[0][0], size), return_counts=True))
-        p = np.empty(0)
-        for size, (g, c) in enumerate(levels, 1):
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = min(0.95, max(0.1, n1 / (n1 + 2 * n2) if n1 else 0.5))
-            ctx, where = np.unique(g >> np.uint64(BITS), return_inverse=True)
-            total, kinds = np.bincount(where, c), np.bincount(where)
-            gamma = d * kinds / total
-            if size == 1:
-                model.floor[k] = np.log(gamma[0] / (1 << BITS)) if len(g) else np.log(1 / (1 << BITS))
-                lower = np.full(len(g), 1 / (1 << BITS))
-            else:
-                lower = p[np.searchsorted(levels[size - 2][0], _suffix(g, size - 1))]
-            p = np.maximum(c - d, 0) / total[where] + gamma[where] * lower
-            tables[size - 1].append((g, np.log(p), ctx, np.log(gamma)))
-    for rows in tables:
-        for store, a, b in ((model.grams, 0, 1), (model.backoff, 2, 3)):
-            union = np.unique(np.concatenate([r[a] for r in rows])) if rows else np.empty(0, np.uint64)
-            values = np.full((len(union), len(langs)), np.nan, np.float32)
-            for k, r in enumerate(rows):
-                values[np.searchsorted(union, r[a]), k] = r[b]
-            store.append(SortedHashes(union, values))
-    lp = -model.log_p(gram.astype(np.uint64)) if len(gram) else np.empty((0, len(langs)))
-    own = lp[np.arange(len(gram)), lang] if len(gram) else np.empty(0)
-    weight = np.bincount(lang, n, len(langs))
-    model.usual = np.bincount(lang, n * own, len(langs)) / np.maximum(weight, 1)
-    model.spread = np.sqrt(np.maximum(np.bincount(lang, n * own**2, len(langs)) / np.maximum(weight, 1) - model.usual**2, 1e-6))
+        for size in range(ORDER, 0, -1):
+            if size < ORDER:  # lower orders count the letters that come before
+                keys, counts = np.unique(_suffix(keys, size), return_counts=True)
+            model.discounts[size - 1, k] = _discount((counts == 1).sum(), (counts == 2).sum())
+            ctx, where = np.unique(keys >> np.uint64(BITS), return_inverse=True)
+            rows.append((_hashed(size, keys), np.full(len(keys), k), counts, np.zeros(len(keys))))
+            rows.append((_hashed(ORDER + size, ctx), np.full(len(ctx), k), np.bincount(where, counts), np.bincount(where)))
+    hashes, owner, a, b = (np.concatenate(c) for c in zip(*rows)) if rows else np.zeros((4, 0))
+    order = np.lexsort((owner, hashes))
+    half = np.searchsorted(hashes[order], np.uint64(1 << 63))
+    model.rows = Shards({k: (hashes[o], owner[o], a[o], b[o]) for k, o in enumerate((order[:half], order[half:]))}, 1, len(langs))
+    model.usual_from(_own_entropy(model, lang, gram, n))
+    return model
+
+
+class _Write:
+    """Writes the shards of a partition, whose rows (shard, h, lang, a, b) are sorted, as files of one Arrow batch each."""
+
+    def __init__(self, folder: str, langs: list[str]):
+        self.folder, self.langs = folder, langs
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        system, root = fs.FileSystem.from_uri(self.folder)
+        system.create_dir(root, recursive=True)
+        rows = pa.Table.from_batches(found).combine_chunks()
+        shard = rows["shard"].to_numpy()
+        begins = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        names = []
+        for begin, end in zip(begins, [*begins[1:], len(shard)]):
+            part = rows.slice(begin, end - begin)
+            cols = [part["h"].to_numpy().view(np.uint64), pa.compute.index_in(part["lang"], value_set=pa.array(self.langs)).to_numpy(), part["a"].to_numpy(), part["b"].to_numpy()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "lang", "a", "b"])
+            names.append(f"{shard[begin]}-{uuid.uuid4().hex}.arrow")
+            with system.open_output_stream(f"{root}/{names[-1]}") as sink, pa.ipc.new_file(sink, batch.schema) as out:
+                out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(shard[begins]), pa.array([f"{self.folder}/{x}" for x in names])], ["shard", "path"])
+
+
+class _Entropy:
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        lang = pa.compute.index_in(batch.column(0), value_set=pa.array(self.model.langs)).to_numpy(zero_copy_only=False)
+        sums = _own_entropy(self.model, lang, batch.column(1).to_numpy(), batch.column(2).to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(range(len(self.model.langs)), pa.int32()), *(pa.array(s, pa.float64()) for s in sums)], ["k", "s0", "s1", "s2"])
+
+
+def _fitted(counts: DataFrame) -> Model:
+    """The models of 5-gram counts (lang, gram, n), a staged table: Spark counts the lower orders and contexts, all of them."""
+    spark, levels = counts.sparkSession, [counts]
+    for size in range(ORDER - 1, 0, -1):  # lower orders count the letters that come before
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * size) - 1))
+        levels.insert(0, staged(levels[0].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{size}"))
+    once = [t.groupBy(F.lit(k).alias("k"), "lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count(F.lit(1)).alias("n")) for k, t in enumerate(levels)]
+    facts = reduce(DataFrame.union, once).collect()
+    model = Model(sorted({r["lang"] for r in facts}))
+    if not facts:
+        return model
+    index = {x: k for k, x in enumerate(model.langs)}
+    model.discounts = np.full((ORDER, len(index)), 0.5)
+    for r in facts:
+        model.discounts[r["k"], index[r["lang"]]] = _discount(r["n1"], r["n2"])
+    bits = max(1, (2 * sum(r["n"] for r in facts) // SHARD_ROWS).bit_length())
+    rows = []
+    for size, t in enumerate(levels, 1):
+        ctx = t.groupBy("lang", F.shiftright("gram", BITS).alias("gram")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        for kind, of in ((size, t.withColumn("kinds", F.lit(0))), (ORDER + size, ctx)):
+            rows.append(of.select("lang", F.xxhash64(F.lit(kind).cast("bigint"), "gram").alias("h"), F.col("n").cast("double").alias("a"), F.col("kinds").cast("double").alias("b")))
+    sharded = reduce(DataFrame.union, rows).select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("shard"), "h", "lang", "a", "b")
+    write = _Write(fresh_path(spark, "languages"), model.langs)
+    files = sharded.repartition(1 << bits, "shard").sortWithinPartitions("shard", "h", "lang").mapInArrow(write, "shard int, path string").collect()
+    model.rows = Shards({r["shard"]: r["path"] for r in files}, bits, len(model.langs))
+    sums = np.zeros((3, len(model.langs)))
+    for k, *s in map_batches(counts, _Entropy(model), "k int, s0 double, s1 double, s2 double").groupBy("k").agg(F.sum("s0"), F.sum("s1"), F.sum("s2")).collect():
+        sums[:, k] = s
+    model.usual_from(sums)
     return model
 
 
@@ -215,16 +324,12 @@ class _Predict:
         return step
 
 
-def train(df: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_ngrams: int = MAX_NGRAMS) -> Model:
+def train(df: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models from the rows of df where `keep` holds and language and text are there."""
     rows = df.filter(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     counts = map_batches(rows.select("lang", "text"), _count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_ngrams).toArrow()
-    names = np.array(found["lang"].to_pylist(), dtype=object)
-    langs = sorted(set(names))
-    index = {x: k for k, x in enumerate(langs)}
-    model = kneser_ney(langs, np.array([index[x] for x in names], np.int64), found["gram"].to_numpy(), found["n"].to_numpy())
-    if langs:
+    model = _fitted(staged(counts, f"grams{ORDER}"))
+    if model.langs:
         ids = [r[0] for r in rows.select("id").filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).collect()]
         ids_df = df.sparkSession.createDataFrame([(x,) for x in set(ids)], df.select(F.col(id_col).alias("id")).schema) if ids else None
         if ids_df is not None:
@@ -235,8 +340,6 @@ def train(df: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id_col, lang_pred, score, cross_entropy, above (its excess in units of the usual), rejected."""
-    import uuid
-
     if not model.langs:
         return df.select(F.col(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(0.0).alias("above"), F.lit(True).alias("rejected"))
     slim = df.select(F.col(id_col).alias("c0"), F.col(text_col).cast("string").alias("text"))
@@ -259,6 +362,4 @@ class _Keep(_Predict):
 
 def kept(df: DataFrame, model: Model) -> DataFrame:
     """The rows of df, a table with a column text, whose text is not rejected; nothing is judged where no language could be learned."""
-    import uuid
-
     return map_batches(df, _Keep(model, uuid.uuid4().hex), df.schema.simpleString()[len("struct<") : -1]) if model.langs else df

@@ -62,6 +62,25 @@ def test_kneser_ney_sums_to_one():
     assert abs(np.exp(model.log_p(every)).sum() - 1) < 1e-4
 
 
+def test_every_ngram_counts(spark):
+    """A language of few rows beside one of more than a million 5-grams is learned as from its own counts."""
+    draw = random.Random(5)
+    hot = [(k, " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(1000)), "aa", "s", 1) for k in range(200)]
+    rare = [(1000 + k, say(draw, "bb", 20), "zz", "s", 1) for k in range(3)]
+    model = langid.train(spark.createDataFrame(hot + rare, SCHEMA), F.lit(True))
+    assert model.langs == ["aa", "zz"]
+    parts = []
+    for k, data in enumerate((hot, rare)):
+        keys, _ = langid.grams(" ".join(r[1] for r in data).split())
+        unique, n = np.unique(keys, return_counts=True)
+        parts.append((np.full(len(unique), k), unique, n))
+    lang, gram, n = (np.concatenate(c) for c in zip(*parts))
+    assert len(gram) > 1_000_000
+    whole, some = langid.kneser_ney(model.langs, lang, gram, n), np.concatenate([gram[::500], gram[-100:]])
+    assert np.allclose(model.log_p(some), whole.log_p(some))
+    assert np.allclose(model.discounts, whole.discounts) and np.allclose(model.usual, whole.usual) and np.allclose(model.spread, whole.spread)
+
+
 def test_segments_are_brute_force():
     def brute(s):
         # All maximal segments: the best one, then the same left and right of it.
