@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Every language that the training rows name gets a model of order 5 over the letters of its words, each word padded, so no context
+Every language that the training rows name gets a model of order 5 over the letters (whole code points) of its words, each word padded, so no context
 crosses a word. Counts cover all training rows: tasks count the 5-grams of their distinct words, Spark adds the counts up and gets the
 lower orders, discounts and contexts from all of them. The counts are stored as sorted arrays of hashed n-grams, cut into shards in the
 shared folder, which workers map; probabilities are made from them at lookup, and an absent n-gram backs off to the next shorter one. A text goes to the language with the lowest cross-entropy per letter. It is rejected if it has no
@@ -31,25 +31,43 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import fresh_path, map_batches, remember, staged, utf8
 
-ORDER, BITS = 5, 12
+#: A code point's low bits and high bits are packed apart, as five whole ones exceed an integer.
+ORDER, BITS, HIGH_BITS = 5, 12, 9
+#: No letters, so no word has them.
 PAD, END = "\1", "\2"
 #: Rows in a shard; rows that calibrate rejection; chunks that a worker remembers; bytes of text and new words scored at once.
 SHARD_ROWS, CALIBRATION_ROWS, REMEMBERED, AT_ONCE, WORDS = 1_000_000, 4000, 250_000, 2_000_000, 10_000
 _RUNS = regex.compile(r"\p{L}+").findall
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed 5-gram that ends at each letter or word end, and the number of them in each word."""
+def grams(words: list[str], high: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The packed 5-gram that ends at each letter or word end, and the number of them in each word: the low bits of the code points, or the high ones."""
     text = "".join(PAD * (ORDER - 1) + w + END for w in words)
-    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) & np.uint64((1 << BITS) - 1)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    bits = HIGH_BITS if high else BITS
+    signs = points >> np.uint64(BITS) if high else points & np.uint64((1 << BITS) - 1)
     keys = signs.copy()
     for j in range(1, ORDER):
-        keys[j:] |= signs[:-j] << np.uint64(BITS * j)
-    return keys[signs != ord(PAD)], np.array([len(w) + 1 for w in words])
+        keys[j:] |= signs[:-j] << np.uint64(bits * j)
+    return keys[points != ord(PAD)], np.array([len(w) + 1 for w in words])
 
 
-def _suffix(keys: np.ndarray, n: int) -> np.ndarray:
-    return keys & np.uint64((1 << BITS * n) - 1)
+def _suffix(keys: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
+    return keys & np.uint64((1 << bits * n) - 1)
+
+
+def _distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs and where each pair is among them."""
+    if not high.any():
+        low, where = np.unique(low, return_inverse=True)
+        return low, np.zeros_like(low), where
+    order = np.lexsort((low, high))
+    low, high = low[order], high[order]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    where = np.empty(len(low), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return low[new], high[new], where
 
 
 def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -64,19 +82,19 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
                 words[w] += n
         if words:
             keys, sizes = grams(list(words))
-            unique, where = np.unique(keys, return_inverse=True)
-            out.append((lang, unique, np.bincount(where, np.repeat(np.fromiter(words.values(), float), sizes))))
-    langs = pa.array([x for lang, u, _ in out for x in [lang] * len(u)], pa.string())
+            unique, high, where = _distinct(keys, grams(list(words), high=True)[0])
+            out.append((lang, unique, high, np.bincount(where, np.repeat(np.fromiter(words.values(), float), sizes))))
+    langs = pa.array([x for lang, u, *_ in out for x in [lang] * len(u)], pa.string())
     join = lambda k, t: np.concatenate([o[k] for o in out]).astype(t) if out else np.empty(0, t)
-    return pa.RecordBatch.from_arrays([langs, pa.array(join(1, np.int64)), pa.array(join(2, np.int64))], ["lang", "gram", "n"])
+    return pa.RecordBatch.from_arrays([langs, pa.array(join(1, np.int64)), pa.array(join(2, np.int64)), pa.array(join(3, np.int64))], ["lang", "gram", "high", "n"])
 
 
-def _hashed(kind: int, keys: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(kind, key) of bigints."""
+def _hashed(kind: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(kind, low, high) of bigints."""
     p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
     h = np.full(1, 42, np.uint64)
-    for x in (np.full(1, kind, np.uint64), keys):
+    for x in (np.full(1, kind, np.uint64), low, high):
         h = turn((h + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1), 27) * p1 + p4
         h = (h ^ (h >> np.uint64(33))) * p2
         h = (h ^ (h >> np.uint64(29))) * p3
@@ -104,9 +122,9 @@ class Shards:
             self.opened[k] = part
         return self.opened[k]
 
-    def get(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def get(self, kind: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """a and b by language for each key, 0 where there is no row."""
-        wanted, where = np.unique(_hashed(kind, keys), return_inverse=True)
+        wanted, where = np.unique(_hashed(kind, low, high), return_inverse=True)
         a, b = np.zeros((2, len(wanted), self.width))
         ends = np.searchsorted(wanted >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
         for k in self.parts:
@@ -137,15 +155,17 @@ class Model:
     usual: np.ndarray | None = None
     spread: np.ndarray | None = None
     limit: float = np.inf
+    #: Blocks of 1 << BITS code points from which training letters come: any sign of them may follow.
+    blocks: int = 1
 
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each packed 5-gram's last letter, by language."""
-        keys, where = np.unique(keys, return_inverse=True)
-        p = np.full((len(keys), len(self.langs)), 1 / (1 << BITS))
+    def log_p(self, keys: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of each packed 5-gram's last letter, by language; no high bits are all 0."""
+        keys, high, where = _distinct(keys, np.zeros_like(keys) if high is None else high)
+        p = np.full((len(keys), len(self.langs)), 1 / (self.blocks << BITS))
         for n in range(1, ORDER + 1):
-            own, d = _suffix(keys, n), self.discounts[n - 1]
-            count, _ = self.rows.get(n, own)
-            total, kinds = self.rows.get(ORDER + n, own >> np.uint64(BITS))
+            own, up, d = _suffix(keys, n), _suffix(high, n, HIGH_BITS), self.discounts[n - 1]
+            count, _ = self.rows.get(n, own, up)
+            total, kinds = self.rows.get(ORDER + n, own >> np.uint64(BITS), up >> np.uint64(HIGH_BITS))
             p = np.where(total > 0, (np.maximum(count - d, 0) + d * kinds * p) / np.maximum(total, 1), p)
         return np.log(p)[where]
 
@@ -160,28 +180,30 @@ def _discount(n1, n2):
     return np.minimum(0.95, np.maximum(0.1, np.where(n1 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5)))
 
 
-def _own_entropy(model: Model, lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
-    own = -model.log_p(gram.astype(np.uint64))[np.arange(len(gram)), lang] if len(gram) else np.empty(0)
+def _own_entropy(model: Model, lang: np.ndarray, gram: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+    own = -model.log_p(gram.astype(np.uint64), high.astype(np.uint64))[np.arange(len(gram)), lang] if len(gram) else np.empty(0)
     return np.array([np.bincount(lang, n * own**k, len(model.langs)) for k in range(3)])
 
 
-def kneser_ney(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
+def kneser_ney(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, high: np.ndarray | None = None) -> Model:
     """Interpolated Kneser-Ney models from 5-gram counts in memory (lang: index into langs); train() has Spark count the same."""
-    rows, model = [], Model(langs, discounts=np.full((ORDER, len(langs)), 0.5))
+    high = (np.zeros_like(gram) if high is None else high).astype(np.uint64)
+    rows, model = [], Model(langs, discounts=np.full((ORDER, len(langs)), 0.5), blocks=max(1, len(np.unique(_suffix(high, 1, HIGH_BITS)))))
     for k in range(len(langs)):
-        keys, counts = gram[lang == k].astype(np.uint64), n[lang == k].astype(float)
+        keys, up, counts = gram[lang == k].astype(np.uint64), high[lang == k], n[lang == k].astype(float)
         for size in range(ORDER, 0, -1):
             if size < ORDER:  # lower orders count the letters that come before
-                keys, counts = np.unique(_suffix(keys, size), return_counts=True)
+                keys, up, where = _distinct(_suffix(keys, size), _suffix(up, size, HIGH_BITS))
+                counts = np.bincount(where)
             model.discounts[size - 1, k] = _discount((counts == 1).sum(), (counts == 2).sum())
-            ctx, where = np.unique(keys >> np.uint64(BITS), return_inverse=True)
-            rows.append((_hashed(size, keys), np.full(len(keys), k), counts, np.zeros(len(keys))))
-            rows.append((_hashed(ORDER + size, ctx), np.full(len(ctx), k), np.bincount(where, counts), np.bincount(where)))
+            ctx, ctx_up, where = _distinct(keys >> np.uint64(BITS), up >> np.uint64(HIGH_BITS))
+            rows.append((_hashed(size, keys, up), np.full(len(keys), k), counts, np.zeros(len(keys))))
+            rows.append((_hashed(ORDER + size, ctx, ctx_up), np.full(len(ctx), k), np.bincount(where, counts), np.bincount(where)))
     hashes, owner, a, b = (np.concatenate(c) for c in zip(*rows)) if rows else np.zeros((4, 0))
     order = np.lexsort((owner, hashes))
     half = np.searchsorted(hashes[order], np.uint64(1 << 63))
     model.rows = Shards({k: (hashes[o], owner[o], a[o], b[o]) for k, o in enumerate((order[:half], order[half:]))}, 1, len(langs))
-    model.usual_from(_own_entropy(model, lang, gram, n))
+    model.usual_from(_own_entropy(model, lang, gram, high, n))
     return model
 
 
@@ -217,16 +239,16 @@ class _Entropy:
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         lang = pa.compute.index_in(batch.column(0), value_set=pa.array(self.model.langs)).to_numpy(zero_copy_only=False)
-        sums = _own_entropy(self.model, lang, batch.column(1).to_numpy(), batch.column(2).to_numpy())
+        sums = _own_entropy(self.model, lang, *(batch.column(j).to_numpy() for j in (1, 2, 3)))
         return pa.RecordBatch.from_arrays([pa.array(range(len(self.model.langs)), pa.int32()), *(pa.array(s, pa.float64()) for s in sums)], ["k", "s0", "s1", "s2"])
 
 
 def _fitted(counts: DataFrame) -> Model:
-    """The models of 5-gram counts (lang, gram, n), a staged table: Spark counts the lower orders and contexts, all of them."""
+    """The models of 5-gram counts (lang, gram, high, n), a staged table: Spark counts the lower orders and contexts, all of them."""
     spark, levels = counts.sparkSession, [counts]
     for size in range(ORDER - 1, 0, -1):  # lower orders count the letters that come before
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * size) - 1))
-        levels.insert(0, staged(levels[0].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{size}"))
+        low, high = (F.col(c).bitwiseAND(F.lit((1 << bits * size) - 1)).alias(c) for c, bits in (("gram", BITS), ("high", HIGH_BITS)))
+        levels.insert(0, staged(levels[0].groupBy("lang", low, high).agg(F.count(F.lit(1)).alias("n")), f"grams{size}"))
     once = [t.groupBy(F.lit(k).alias("k"), "lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count(F.lit(1)).alias("n")) for k, t in enumerate(levels)]
     facts = reduce(DataFrame.union, once).collect()
     model = Model(sorted({r["lang"] for r in facts}))
@@ -236,12 +258,13 @@ def _fitted(counts: DataFrame) -> Model:
     model.discounts = np.full((ORDER, len(index)), 0.5)
     for r in facts:
         model.discounts[r["k"], index[r["lang"]]] = _discount(r["n1"], r["n2"])
+    model.blocks = levels[0].select("high").distinct().count()
     bits = max(1, (2 * sum(r["n"] for r in facts) // SHARD_ROWS).bit_length())
     rows = []
     for size, t in enumerate(levels, 1):
-        ctx = t.groupBy("lang", F.shiftright("gram", BITS).alias("gram")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        ctx = t.groupBy("lang", F.shiftright("gram", BITS).alias("gram"), F.shiftright("high", HIGH_BITS).alias("high")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
         for kind, of in ((size, t.withColumn("kinds", F.lit(0))), (ORDER + size, ctx)):
-            rows.append(of.select("lang", F.xxhash64(F.lit(kind).cast("bigint"), "gram").alias("h"), F.col("n").cast("double").alias("a"), F.col("kinds").cast("double").alias("b")))
+            rows.append(of.select("lang", F.xxhash64(F.lit(kind).cast("bigint"), "gram", "high").alias("h"), F.col("n").cast("double").alias("a"), F.col("kinds").cast("double").alias("b")))
     sharded = reduce(DataFrame.union, rows).select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("shard"), "h", "lang", "a", "b")
     write = _Write(fresh_path(spark, "languages"), model.langs)
     files = sharded.repartition(1 << bits, "shard").sortWithinPartitions("shard", "h", "lang").mapInArrow(write, "shard int, path string").collect()
@@ -279,7 +302,7 @@ class Scorer(dict):
 
     def _words(self, words: list[str]) -> np.ndarray:
         keys, sizes = grams(words)
-        return np.add.reduceat(np.column_stack([self.model.log_p(keys), np.ones(len(keys))]), np.cumsum(sizes) - sizes)
+        return np.add.reduceat(np.column_stack([self.model.log_p(keys, grams(words, high=True)[0]), np.ones(len(keys))]), np.cumsum(sizes) - sizes)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """A row for each text: the sum for every language, then the number of letters."""
@@ -327,7 +350,7 @@ class _Predict:
 def train(df: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models from the rows of df where `keep` holds and language and text are there."""
     rows = df.filter(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    counts = map_batches(rows.select("lang", "text"), _count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_batches(rows.select("lang", "text"), _count, "lang string, gram bigint, high bigint, n bigint").groupBy("lang", "gram", "high").agg(F.sum("n").alias("n"))
     model = _fitted(staged(counts, f"grams{ORDER}"))
     if model.langs:
         ids = [r[0] for r in rows.select("id").filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).collect()]

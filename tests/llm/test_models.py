@@ -81,6 +81,35 @@ def test_every_ngram_counts(spark):
     assert np.allclose(model.discounts, whole.discounts) and np.allclose(model.usual, whole.usual) and np.allclose(model.spread, whole.spread)
 
 
+def test_letters_are_whole_code_points(spark):
+    """Letters whose low 12 bits are those of padding, of word ends or of each other are letters of their own."""
+    draw = random.Random(6)
+    letters = {"aa": "\u8001\u9001\u1001\ub001\u8002\u4e00", "bb": "\u5001\u6001\u7001\uc001\u5002\u5e00", "cc": "\U00020001\U00020e00klm"}
+    data = []
+    for k in range(90):
+        lang = list(letters)[k % 3]
+        data.append((k, " ".join("".join(draw.choices(letters[lang], k=draw.randint(1, 6))) for _ in range(12)), lang, "s", 1))
+    docs = spark.createDataFrame(data, SCHEMA)
+    model = langid.train(docs, F.col("doc_id") % 2 == 0)
+    assert model.langs == ["aa", "bb", "cc"] and {r["lang_pred"]: 1 for r in langid.predict(docs, model).collect()}.keys() == set(letters)
+    assert all(r["lang_pred"] == data[r["doc_id"]][2] for r in langid.predict(docs, model).collect())
+    parts = []
+    for k, lang in enumerate(letters):
+        every = Counter(("\1" * 4 + w + "\2")[j : j + 5] for r in data if r[2] == lang and r[0] % 2 == 0 for w in r[1].split() for j in range(len(w) + 1))
+        low, high = ([sum((ord(c) >> s & (1 << b) - 1) << b * (4 - j) for j, c in enumerate(g)) for g in every] for s, b in ((0, 12), (12, 9)))
+        parts.append((np.full(len(every), k), np.array(low, np.uint64), np.array(list(every.values())), np.array(high, np.uint64)))
+    lang, gram, n, high = (np.concatenate(c) for c in zip(*parts))
+    whole = langid.kneser_ney(model.langs, lang, gram, n, high)
+    assert model.blocks == whole.blocks and np.allclose(model.log_p(gram, high), whole.log_p(gram, high)) and np.allclose(model.usual, whole.usual)
+    scorer = langid.Scorer(model)
+    alone = [scorer.score([r[1].encode()])[0] for r in data]
+    assert np.allclose(alone, scorer.score([r[1].encode() for r in data])) and [a[-1] for a in alone] == [sum(len(w) + 1 for w in r[1].split()) for r in data]
+    signs = np.array([0, 1, 4, 5, 6, 7, 8, 9, 11, 12, 32], np.uint64)
+    last, block = (x.ravel() for x in np.meshgrid(np.arange(1 << 12, dtype=np.uint64), signs))
+    before = ((gram[0] << np.uint64(12)) & np.uint64((1 << 60) - 1)) | last, ((high[0] << np.uint64(9)) & np.uint64((1 << 45) - 1)) | block
+    assert model.blocks == len(signs) and np.allclose(np.exp(model.log_p(*before)).sum(0), 1, atol=1e-6)
+
+
 def test_segments_are_brute_force():
     def brute(s):
         # All maximal segments: the best one, then the same left and right of it.
