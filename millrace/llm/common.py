@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.ship import ship
 from millrace.workspace import fresh_path
@@ -43,14 +45,29 @@ def remember(key: str, make: Callable[[], object]) -> object:
 BATCH_BYTES = 8 << 20
 
 
+_UNITS = {u: 1 << 10 * k for k, u in enumerate("bkmgtp")}
+
+
+def bytes_of(setting: str) -> int:
+    """The bytes that a size setting such as 8388608, 64m or 1gb names."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([bkmgtp]?)i?b?\s*", setting.lower()).groups()
+    return int(number) * _UNITS[unit or "b"]
+
+
 def modest_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on the bytes of an Arrow batch, so that long texts do not make large ones."""
+    """Lowers the session's bound on the bytes of an Arrow batch, so that long texts do not make large ones. Plans read the bound when they run,
+    so it stays lowered; a session that has a smaller bound keeps it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+    if not 0 < bytes_of(spark.conf.get(key)) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def with_id(slim: DataFrame, ddl: str) -> T.StructType:
+    """The fields of a DDL text after the field `id` of slim, whatever its type."""
+    return T.StructType([T.StructField("id", slim.schema["id"].dataType), *T.StructType.fromDDL(ddl)])
+
+
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """One output batch for each Arrow batch. step is built on the executor's side once for each task if it has an `open` method."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

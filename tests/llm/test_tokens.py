@@ -1,12 +1,15 @@
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from millrace.llm import packing, tokencount
 
+DATA = "/root/testdata/sf0.01"
 HARD = ["", "a", "it's  two  spaces", " lead", "trail ", "\n\n x \t y\r\n", "<|endoftext|>", "a <|endoftext|> b<|startoftext|>c", "naïve café     x", "\x1cx\x1d y", "İSTANBUL Σας", "日本語 テキスト", "á é", "12 345,6!!??", "x" * 500, "I'LL we've"]
 
 
@@ -23,9 +26,29 @@ def test_counts_are_the_library_s(texts):
 
 def test_ids_are_the_library_s(texts):
     path = public_tokenizers.path("word_bpe_49k.json")
-    get = packing.remembered(path).__getitem__
     want = [np.array(e.ids, "<u4").tobytes() for e in tokencount.load(path).encode_batch(texts, add_special_tokens=False)]
-    assert [b"".join(map(get, t.encode().split())) for t in texts] == want
+    for lost in (packing.word_table(path), None):  # by the merge table, and all by the library
+        ids = packing._Ids(path, lost)
+        assert list(ids.encoded([t.encode() for t in texts])) == want
+        assert list(ids.encoded([t.encode() for t in reversed(texts)])) == want[::-1]
+
+
+def test_memory_of_chunks_forgets(texts, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    monkeypatch.setattr(packing, "AT_ONCE", 50)
+    ids = packing._Ids(path, packing.word_table(path))
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokencount.load(path).encode_batch(texts, add_special_tokens=False)]
+    assert list(ids.encoded([t.encode() for t in texts])) == want
+    assert len(ids) + len(ids.old) < 3000
+
+
+def test_merge_table_is_proved():
+    """A token that its signs alone do not make is left out; a file of another kind is not read as a word table."""
+    merges = {("a", "b"): 0, ("b", "c</w>"): 1, ("a", "bc</w>"): 2}
+    assert packing.unreached({"a": 0, "ab": 1, "bc</w>": 2, "abc</w>": 3}, merges) == {"abc</w>"}
+    assert packing.word_table(public_tokenizers.path("word_bpe_49k.json")) == ()
+    assert packing.word_table(public_tokenizers.path("byte_bpe_50k.json")) is None
 
 
 def test_count_table(docs, corpus, empty):
@@ -82,6 +105,21 @@ def test_plans_use_few_sequences(seed):
         assert max(filled.values()) <= 4096 and len(filled) <= plan.bins <= 1.03 * least + 2
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_grouping_reaches_plain_best_fit_on_the_tables():
+    """On the lengths of sf0.01 the grouping's plan needs as few sequences as plain best fit, and as the lower bound."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [(t or "").encode() for t in pq.read_table(f"{DATA}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    counts = Counter()
+    for ids in packing._Ids(path, packing.word_table(path)).encoded(texts):
+        whole, rest = divmod(len(ids) // 4 + 1, 4096)
+        counts.update({4096: whole} if whole else {})
+        counts.update({rest: 1} if rest else {})
+    made = packing.make_plan(dict(counts), 4096)
+    assert made.bins <= packing.best_fit_decreasing(dict(counts), 4096).bins
+    assert made.bins == -(-sum(x * n for x, n in counts.items()) // 4096)
+
+
 def test_hard_lengths_need_configurations():
     """Three pieces of a third and pairs just over a half: the programme finds the best, here one sequence for each two large ones."""
     counts = {2100: 30, 1990: 30, 1300: 60, 1496: 30}
