@@ -20,26 +20,36 @@ def last_value(column: str) -> Column:
     return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(SEQ)))
 
 
-def merged_value(column: str, how: str, kind: str) -> Column:
-    """set (the last value), sum, max, min, append (arrays joined in commit order), or expr:<SQL over old and new> folded in commit order."""
-    if how == "set":
-        return last_value(column)
-    if how in ("sum", "max", "min"):
-        return getattr(F, how)(column).cast(kind)
-    in_order = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(F.col(SEQ).alias("s"), F.col(column).alias("v")))))
-    if how == "append":
-        return F.flatten(F.transform(in_order, lambda x: x["v"]))
+def step(how: str, kind: str) -> str:
+    """SQL of a value after a commit, over `old`, the value before (not null), and x.v, the commit's."""
+    plain = {"set": "x.v", "sum": "old + x.v", "max": "greatest(old, x.v)", "min": "least(old, x.v)", "append": "concat(old, x.v)"}
+    if how in plain:
+        return f"cast({plain[how]} as {kind})"
     if how.startswith("expr:"):
-        values = f"array_sort(collect_list(if(`{column}` is not null, struct({SEQ} as s, `{column}` as v), null)))"
-        step = re.sub(r"\bnew\b", "x.v", how[len("expr:") :])
-        return F.expr(f"aggregate(slice({values}, 2, {1 << 30}), get({values}, 0).v, (old, x) -> cast({step} as {kind}))")
+        return f"cast({re.sub(r'\bnew\b', 'x.v', how[len('expr:') :])} as {kind})"
     raise ValueError(f"no such merge: {how}")
 
 
-def fold(actions: list[DataFrame], ids: list[str], how: dict[str, str] | None = None, deletes: bool = False) -> DataFrame:
-    """One row for each key. actions: oldest first; a column that an action lacks is null there. deletes: actions may mark rows by `_deleted`."""
-    how = how or {}
-    if len(actions) == 1 and not deletes and not how:
+def merged_value(column: str, how: list[str | None], kind: str) -> Column:
+    """The column folded over commits, oldest first: set (the value), sum, max, min, append (arrays joined), or expr:<SQL over old and new>.
+
+    how[k] is the k-th commit's way, None if it lacks the column. A null value changes nothing, and a value that meets none is taken as it is. One way for all commits
+    after the first is an aggregate without state; ways that differ are folded in order."""
+    later = set([h for h in how if h][1:]) or {"set"}
+    if later == {"set"}:
+        return last_value(column)
+    if len(later) == 1 and (way := next(iter(later))) in ("sum", "max", "min"):
+        return getattr(F, way)(column).cast(kind)
+    values = f"array_sort(collect_list(if(`{column}` is not null, struct({SEQ} as s, `{column}` as v), null)))"
+    cases = " ".join(f"when x.s in ({', '.join(str(k) for k, h in enumerate(how) if h == way)}) then {step(way, kind)}" for way in sorted({h for h in how if h}))
+    return F.expr(f"aggregate({values}, cast(null as {kind}), (old, x) -> case when old is null then x.v {cases} end)")
+
+
+def fold(actions: list[DataFrame], ids: list[str], how: list[dict[str, str]] | None = None, deletes: bool = False) -> DataFrame:
+    """One row for each key. actions: oldest first; a column that an action lacks is null there. how: for each action, columns to their way of
+    merging. deletes: actions may mark rows by `_deleted`."""
+    how = how or [{} for _ in actions]
+    if len(actions) == 1 and not deletes:
         return actions[0]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (a.withColumn(SEQ, F.lit(k)) for k, a in enumerate(actions)))
     if deletes and DELETED in rows.columns:
@@ -49,7 +59,15 @@ def fold(actions: list[DataFrame], ids: list[str], how: dict[str, str] | None =
     values = [c for c in rows.columns if c not in (*ids, SEQ, DELETED)]
     if not values:
         return rows.select(*ids).distinct()
-    return rows.groupBy(*ids).agg(*(merged_value(c, how.get(c, "set"), kinds[c]).alias(c) for c in values))
+    ways = lambda c: [h.get(c, "set") if c in a.columns else None for h, a in zip(how, actions)]
+    return rows.groupBy(*ids).agg(*(merged_value(c, ways(c), kinds[c]).alias(c) for c in values))
+
+
+def fold_small(base: DataFrame, later: list[DataFrame], ids: list[str], how: list[dict[str, str]], deletes: bool = False) -> DataFrame:
+    """The same fold where all of `later` is small enough to be broadcast: rows of the base whose key no later action has pass without a shuffle."""
+    keys = reduce(DataFrame.unionByName, (a.select(*ids) for a in later)).distinct()
+    touched = fold([base.join(F.broadcast(keys), ids, "left_semi"), *later], ids, how, deletes)
+    return base.join(F.broadcast(keys), ids, "left_anti").unionByName(touched, allowMissingColumns=True)
 
 
 def fold_by_joins(actions: list[DataFrame], ids: list[str]) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
+import time
 import uuid
 from dataclasses import dataclass
 from pathlib import Path
@@ -23,6 +25,18 @@ from millrace.sources.log import ROOT, Commit, Log, LogError, Ref
 from millrace.workspace import Files
 
 PART_BYTES = 1 << 30
+#: Bytes of files after a checkpoint up to which their keys are broadcast, so that the checkpoint's untouched rows are not shuffled.
+SMALL_BYTES = 16 << 20
+#: Data younger than this is not vacuumed, as a commit may be on its way.
+VACUUM_AGE_MS = 24 * 3600 * 1000
+
+
+def spec_of(p: KeyHash | Window | None) -> dict | None:
+    return None if p is None else {"keys": list(p.keys), "parts": p.parts} if isinstance(p, KeyHash) else {"key": p.key, "size": p.size}
+
+
+def from_spec(p: dict | None) -> KeyHash | Window | None:
+    return None if p is None else KeyHash(tuple(p["keys"]), p["parts"]) if "keys" in p else Window(p["key"], p["size"])
 
 
 @dataclass(frozen=True)
@@ -35,6 +49,11 @@ class Group:
     partition: KeyHash | Window | None = None
 
 
+def _configs(files: Files, root: str) -> list[tuple[int, str]]:
+    """Numbers and names of a store's configurations."""
+    return [(int(n.rpartition(".")[2]) if n != "store.json" else 0, n) for n in files.names(root) if re.fullmatch(r"store\.json(\.\d{8})?", n)]
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, groups: list[Group]):
         self.spark, self.root, self.schema, self.groups = spark, root.rstrip("/"), schema, groups
@@ -60,23 +79,24 @@ class Store:
     def open(cls, spark: SparkSession, root: str) -> Store:
         files = Files(spark)
         Log(files, f"{root.rstrip('/')}/log").check()
-        config = json.loads(files.read(f"{root.rstrip('/')}/store.json"))
-        spec = lambda p: None if p is None else KeyHash(tuple(p["keys"]), p["parts"]) if "keys" in p else Window(p["key"], p["size"])
-        return cls(spark, root, T.StructType.fromJson(config["schema"]), [Group(g["name"], tuple(g["ids"]), tuple(g["columns"]), spec(g["partition"])) for g in config["groups"]])
+        newest = max(_configs(files, root.rstrip("/")))
+        config = json.loads(files.read(f"{root.rstrip('/')}/{newest[1]}"))
+        return cls(spark, root, T.StructType.fromJson(config["schema"]), [Group(g["name"], tuple(g["ids"]), tuple(g["columns"]), from_spec(g["partition"])) for g in config["groups"]])
 
     @property
     def ids(self) -> list[str]:
         return list(self.groups[0].ids)
 
     def _types(self, names: list[str]) -> T.StructType:
-        return T.StructType([T.StructField(n, self.schema[n].dataType, True) for n in names])
+        return T.StructType([T.StructField(n, self.schema[n].dataType, True, self.schema[n].metadata) for n in names])
 
     # Writing
 
-    def append(self, df: DataFrame, branch: str = "main", message: str = "", committer: str = "", application: str = "", timestamp: int | None = None, expressions: dict[str, str] | None = None, advance: bool = True, part_bytes: int = PART_BYTES, parent: str | None = None) -> Commit:
-        """Writes rows as a new commit and moves the branch to it. Keys must be there and come once; null values change nothing.
+    def append(self, df: DataFrame, branch: str = "main", message: str = "", committer: str = "", application: str = "", timestamp: int | None = None, expressions: dict[str, str] | None = None, advance: bool = True, part_bytes: int = PART_BYTES, parent: str | None = None, check_keys: bool = True) -> Commit:
+        """Writes rows as a new commit and moves the branch to it. Keys must be there and come once (`check_keys` reads the written keys again to
+        see to it); null values change nothing. Columns with an entry in `expressions` merge with what was there in this commit.
 
-        A boolean column `_deleted` marks keys to delete. If the write or the move fails, the written files are removed."""
+        A boolean column `_deleted` marks keys to delete. If the write, the check or the move fails, the written files are removed."""
         ids = self.ids
         unknown = set(df.columns) - set(self.schema.names) - {merge.DELETED}
         if unknown or set(ids) - set(df.columns):
@@ -84,6 +104,8 @@ class Store:
         for f in df.schema:
             if f.name in self.schema.names and f.dataType != self.schema[f.name].dataType and f.name in ids:
                 raise ValueError(f"{f.name} is {self.schema[f.name].dataType.simpleString()}; another id type would go to other parts")
+        for c, how in (expressions or {}).items():
+            merge.step(how, self.schema[c].dataType.simpleString())
         deletes = merge.DELETED in df.columns
         df = df.select(*(F.col(c).cast(self.schema[c].dataType).alias(c) for c in df.columns if c in self.schema.names), *([merge.DELETED] if deletes else []))
         parent = self.log.head_id(branch)[1] if parent is None else parent
@@ -95,6 +117,8 @@ class Store:
                 if not own and not deletes:
                     continue
                 tiles += self._write(df.select(*ids, *own, *([merge.DELETED] if deletes else [])), g, f"{base}/{g.name}", part_bytes)
+            if check_keys:
+                self._check_keys(tiles)
             fields = {"timestamp": timestamp} if timestamp is not None else {}
             commit = self.log.new(parent, message=message, committer=committer, application=application, columns=[c for c in df.columns if c != merge.DELETED], expressions=expressions or {}, tiles=tiles, deletes=deletes, **fields)
             if advance:
@@ -104,6 +128,15 @@ class Store:
             self.files.delete(base)
             raise
 
+    def _check_keys(self, tiles: list[dict]) -> None:
+        """Raises if the files of a commit's first group hold a key twice; only id columns are read, and counts are added up before they move."""
+        if not tiles:
+            return
+        own = [f["path"] for t in tiles if t["group"] == tiles[0]["group"] for f in t["files"]]
+        again = self.spark.read.schema(self._types(self.ids)).parquet(*own).groupBy(*self.ids).count().filter("count > 1")
+        if row := again.first():
+            raise ValueError(f"key {tuple(row)[:-1]} comes {row['count']} times in one append")
+
     def _write(self, df: DataFrame, g: Group, path: str, part_bytes: int) -> list[dict]:
         checked = df
         for c in g.ids:
@@ -113,7 +146,8 @@ class Store:
             keys = g.partition.keys if isinstance(g.partition, KeyHash) else (g.partition.key,)
             if not set(keys) <= set(df.columns):
                 raise ValueError(f"{g.name} is partitioned by columns that these rows lack")
-            writer_df = checked.withColumn("_part", g.partition.column()).repartition("_part")
+            # A rebalance, not a repartition: adaptive execution cuts a large part among several tasks and joins small ones.
+            writer_df = checked.withColumn("_part", g.partition.column()).hint("rebalance", "_part")
         writer = writer_df.write.option("maxRecordsPerFile", self._rows(df, part_bytes))
         (writer.partitionBy("_part") if g.partition is not None else writer).parquet(path)
         by: dict[str, list[dict]] = {}
@@ -121,7 +155,7 @@ class Store:
             if p.endswith(".parquet"):
                 folder = p.rsplit("/", 1)[0]
                 by.setdefault(folder.rsplit("/", 1)[1] if "_part=" in folder else "", []).append({"path": p, "kind": "data", "size": size})
-        return [{"group": g.name, "part": part, "files": files} for part, files in sorted(by.items())]
+        return [{"group": g.name, "part": part, "files": files, "spec": spec_of(g.partition)} for part, files in sorted(by.items())]
 
     def _rows(self, df: DataFrame, part_bytes: int) -> int:
         """Rows that fit a part file, from the width of the schema; text counts 64 bytes, so no job is run to size parts."""
@@ -135,10 +169,30 @@ class Store:
 
     # Reading
 
-    def _group(self, g: Group, checkpoint: Commit | None, commits: list[Commit], columns: list[str], part: str | None = None) -> DataFrame:
-        actions, how, deletes = [], {}, False
+    def _part(self, spec: KeyHash | Window, key: dict[str, object]) -> str:
+        typed = self.spark.range(1).select(*(F.lit(v).cast(self.schema[k].dataType).alias(k) for k, v in key.items()))
+        return f"_part={typed.select(spec.column()).first()[0]}"
+
+    def _folders(self, c: Commit, g: Group, part: str | None, key: dict[str, object], known: dict) -> list[str]:
+        """The folders of a commit's group that can hold a part or key. Every tile is asked by the spec that it was written with."""
+        out = set()
+        for t in c.tiles:
+            if t["group"] != g.name:
+                continue
+            spec = from_spec(t["spec"]) if "spec" in t else g.partition
+            want = part if t["part"] else None
+            if want is None and t["part"] and spec is not None and set(spec.keys if isinstance(spec, KeyHash) else (spec.key,)) <= set(key):
+                if spec not in known:
+                    known[spec] = self._part(spec, key)
+                want = known[spec]
+            if want is None or t["part"] == want:
+                out |= {f["path"].rsplit("/", 1)[0] for f in t["files"]}
+        return sorted(out)
+
+    def _group(self, g: Group, checkpoint: Commit | None, commits: list[Commit], columns: list[str], part: str | None = None, key: dict[str, object] | None = None) -> DataFrame:
+        actions, how, deletes, known, size = [], [], False, {}, 0
         for c in [*([checkpoint] if checkpoint else []), *commits]:
-            folders = [f for f in c.folders(g.name) if part is None or f.endswith("/" + part) or "_part=" not in f]
+            folders = self._folders(c, g, part, key or {}, known)
             if not folders:
                 continue
             there = columns if c is checkpoint else [x for x in columns if x in c.columns]
@@ -146,32 +200,33 @@ class Store:
             schema = self._types(names)
             if c.deletes:
                 schema, deletes = schema.add(merge.DELETED, T.BooleanType()), True
-            actions.append(self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders))
-            how |= {k: v for k, v in c.expressions.items() if k in columns}
+            rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders)
+            for k, v in (key or {}).items():
+                rows = rows.filter(F.col(k) == F.lit(v))
+            actions.append(rows)
+            how.append({k: v for k, v in c.expressions.items() if k in columns})
+            size += 0 if c is checkpoint else sum(f["size"] for t in c.tiles if t["group"] == g.name for f in t["files"])
         if not actions:
             return self.spark.createDataFrame([], self._types([*g.ids, *columns]))
-        out = merge.fold(actions, list(g.ids), how, deletes)
+        if checkpoint and len(actions) > 1 and size <= SMALL_BYTES and set(actions[0].columns) == {*g.ids, *columns}:
+            out = merge.fold_small(actions[0], actions[1:], list(g.ids), how, deletes)
+        else:
+            out = merge.fold(actions, list(g.ids), how, deletes)
         return out.select(*g.ids, *(F.col(c) if c in out.columns else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in columns))
 
     def read(self, ref: object = Ref(), columns: list[str] | None = None, part: str | None = None, key: dict[str, object] | None = None) -> DataFrame:
         """The table at a reference. Only groups that hold asked columns are read; `part` (such as _part=3) reads one partition of each.
 
-        `key` keeps the rows with these ids, and does so in every scan."""
+        `key` keeps the rows with these ids: every scan filters them, and of files partitioned by some of them only one partition is read."""
         checkpoint, commits = self.log.view(ref)
         wanted = [c for c in (columns or self.schema.names) if c not in self.ids]
         used = [g for g in self.groups if set(g.columns) & set(wanted)] or self.groups[:1]
-        tables = [self._group(g, checkpoint, commits, [c for c in g.columns if c in wanted], part) for g in used]
-        for k, v in (key or {}).items():
-            tables = [t.filter(F.col(k) == F.lit(v)) for t in tables]
-        return merge.join_groups(tables, self.ids).select(*(columns or self.schema.names))
+        tables = [self._group(g, checkpoint, commits, [c for c in g.columns if c in wanted], part, key) for g in used]
+        return merge.join_groups(tables, self.ids).select(*(F.col(c).alias(c, metadata=m) if (m := self.schema[c].metadata) else F.col(c) for c in columns or self.schema.names))
 
     def get(self, key: dict[str, object], ref: object = Ref(), columns: list[str] | None = None) -> DataFrame:
-        """The row of one key; with a key hash on the ids only its partition is read."""
-        part = None
-        if all(isinstance(g.partition, KeyHash) and set(g.partition.keys) <= set(key) for g in self.groups) and len({g.partition for g in self.groups}) == 1:
-            typed = self.spark.range(1).select(*(F.lit(v).cast(self.schema[k].dataType).alias(k) for k, v in key.items()))
-            part = f"_part={typed.select(self.groups[0].partition.column()).first()[0]}"
-        return self.read(ref, columns, part, key)
+        """The row of one key; of files partitioned by the key only its partition is read, however each commit was partitioned."""
+        return self.read(ref, columns, None, key)
 
     def register(self, name: str, ref: object = Ref(), columns: list[str] | None = None) -> DataFrame:
         df = self.read(ref, columns)
@@ -183,49 +238,70 @@ class Store:
     def branch(self, name: str, at: object = Ref()) -> None:
         self.log.branch(name, at)
 
-    def checkpoint(self, ref: object = Ref()) -> None:
-        """Writes the folded version, partitioned as its groups are, so that reads start there."""
+    def checkpoint(self, ref: object = Ref(), replace: bool = False, groups: list[Group] | None = None) -> None:
+        """Writes the folded version, partitioned as its groups are, so that reads start there. replace: a newer one may take the place of one."""
         commit = self.log.resolve(ref)
         before, commits = self.log.view(commit)
-        if self.log.has_checkpoint(commit.id):
+        if self.log.has_checkpoint(commit.id) and not replace:
             raise LogError(f"commit {commit.id[:8]} has a checkpoint")
         tiles = []
-        for g in self.groups:
-            tiles += self._write(self._group(g, before, commits, list(g.columns)), g, f"{self.root}/objects/checkpoint-{commit.id}/{g.name}", PART_BYTES)
-        self.log.put_checkpoint(commit.id, tiles)
+        for g in groups or self.groups:
+            tiles += self._write(self._group(g, before, commits, list(g.columns)), g, f"{self.root}/objects/checkpoint-{uuid.uuid4().hex}/{g.name}", PART_BYTES)
+        self.log.put_checkpoint(commit.id, tiles, replace)
 
     def repartition(self, group: str, partition: KeyHash | Window | None, ref: object = Ref()) -> Store:
-        """Gives a group another partition spec: the version is written anew as a checkpoint, and later appends follow the spec."""
+        """Gives a group another partition spec: the version is written anew as a checkpoint, then later appends follow the spec.
+
+        Each file's spec is kept with it, so readers of any version find keys before, between and after the two steps."""
         groups = [Group(g.name, g.ids, g.columns, partition) if g.name == group else g for g in self.groups]
         if groups == self.groups:
             return self
-        self.groups = groups
-        self._configure(overwrite=True)
-        self.checkpoint(ref)
+        self.checkpoint(ref, replace=True, groups=groups)
+        self._configure(groups)
+        return self
+
+    def add_columns(self, group: str, fields: T.StructType) -> Store:
+        """New columns of a group, null in all rows so far."""
+        if set(fields.names) & set(self.schema.names):
+            raise ValueError("the store has such a column")
+        groups = [Group(g.name, g.ids, (*g.columns, *fields.names), g.partition) if g.name == group else g for g in self.groups]
+        if groups == self.groups:
+            raise ValueError(f"no group {group}")
+        self._configure(groups, T.StructType([*self.schema, *fields]))
+        return self
+
+    def describe(self, column: str, metadata: dict) -> Store:
+        """Sets a column's metadata, which readers find in the schema."""
+        fields = [T.StructField(f.name, f.dataType, f.nullable, metadata) if f.name == column else f for f in self.schema]
+        if column not in self.schema.names:
+            raise ValueError(f"no column {column}")
+        self._configure(self.groups, T.StructType(fields))
         return self
 
-    def _configure(self, overwrite: bool = False) -> None:
-        spec = lambda p: None if p is None else {"keys": list(p.keys), "parts": p.parts} if isinstance(p, KeyHash) else {"key": p.key, "size": p.size}
-        config = {"schema": self.schema.jsonValue(), "groups": [{"name": g.name, "ids": g.ids, "columns": g.columns, "partition": spec(g.partition)} for g in self.groups]}
-        if overwrite:
-            self.files.delete(f"{self.root}/store.json")
-        self.files.create(f"{self.root}/store.json", json.dumps(config).encode())
+    def _configure(self, groups: list[Group] | None = None, schema: T.StructType | None = None) -> None:
+        """Writes the next configuration; creation is exclusive, so of two rivals one fails and nothing is ever missing."""
+        groups, schema = groups or self.groups, schema or self.schema
+        config = {"schema": schema.jsonValue(), "groups": [{"name": g.name, "ids": g.ids, "columns": g.columns, "partition": spec_of(g.partition)} for g in groups]}
+        last = max(_configs(self.files, self.root), default=(-1, ""))[0]
+        name = "store.json" if last < 0 else f"store.json.{last + 1:08d}"
+        if not self.files.create(f"{self.root}/{name}", json.dumps(config).encode()):
+            raise LogError("the store was configured meanwhile")
+        self.groups, self.schema = groups, schema
 
     def squash(self, branch: str, onto: object, name: str, message: str = "squash") -> Commit:
         """A new branch at `onto` with all that another branch holds as one commit on top."""
         self.log.branch(name, onto)
         return self.append(self.read(Ref(branch)), branch=name, message=message)
 
-    def vacuum(self) -> list[str]:
-        """Deletes data that no commit or checkpoint reachable from a branch names; returns the folders."""
+    def vacuum(self, age_ms: int = VACUUM_AGE_MS) -> list[str]:
+        """Deletes data that no commit or checkpoint reachable from a branch names and that is older than age_ms; returns the folders."""
         used = set()
         for b in self.log.branches():
             _, head = self.log.head_id(b)
             for c in self.log.lineage(self.log.commit(head)) if head != ROOT else []:
-                used |= {f["path"].split("/objects/")[1].split("/")[0] for t in c.tiles for f in t["files"]}
-                if self.log.has_checkpoint(c.id):
-                    used.add(f"checkpoint-{c.id}")
-        dead = [n for n in self.files.names(f"{self.root}/objects") if n not in used]
+                used |= {f["path"].split("/objects/")[1].split("/")[0] for t in [*c.tiles, *self.log.checkpoint_tiles(c.id)] for f in t["files"]}
+        old = int(time.time() * 1000) - age_ms
+        dead = [n for n in self.files.names(f"{self.root}/objects") if n not in used and self.files.modified(f"{self.root}/objects/{n}") <= old]
         for n in dead:
             self.files.delete(f"{self.root}/objects/{n}")
         return dead

@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see, from spark.checkpoint.dir; a new local one only where that is unset (tests)."""
+    """The folder that all executors see, from spark.checkpoint.dir; a new local one only where that is unset and all runs on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -51,6 +53,14 @@ class Files:
                 out.append((s.getPath().toString(), s.getLen()))
         return sorted(out)
 
+    def modified(self, path: str) -> int:
+        """When the newest of the files below changed, in milliseconds; of a folder without files, when it did."""
+        fs, p = self._at(path)
+        newest, found = fs.getFileStatus(p).getModificationTime(), fs.listFiles(p, True)
+        while found.hasNext():
+            newest = max(newest, found.next().getModificationTime())
+        return newest
+
     def read(self, path: str) -> bytes:
         fs, p = self._at(path)
         stream = fs.open(p)
