@@ -129,3 +129,55 @@ def test_without_repeats_keeps_rows_and_whole_signs(docs, corpus):
     by = {r["doc_id"]: r["text"] for r in got.collect()}
     assert by[3] == "" or len(corpus[3][1].encode()) < 200
     assert by[46] is None or isinstance(by[46], str)
+
+
+def test_orders_filter_and_lose_no_link(spark):
+    """The other orders throw out pairs that the first lets pass, each some that the other keeps; every link passes all."""
+    draw = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):
+        base = [f"w{x}" for x in draw.integers(0, 10**6, 200)]
+        for cut in (0, 1, 2, 4, 9, 15):  # fewer and fewer shingles in common
+            w = list(base)
+            for at in draw.choice(200, cut, replace=False):
+                w[at] = f"v{draw.integers(0, 10**6)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    for name, step in ngram_join.shingles(ngram_join.F.col("text")):
+        df = df.withColumn(name, step)
+    whole = ngram_join.staged(df.select(ngram_join.F.col("id").alias("k"), "s", ngram_join.F.size("s").alias("n"), *ngram_join.signs(ngram_join.F.col("s"), ngram_join.F.size("s"), 3, 90)), "whole")
+    every = whole.select("k").crossJoin(whole.select(ngram_join.F.col("k").alias("k2"))).filter("k < k2 and floor(k / 6) = floor(k2 / 6)")
+    links = {tuple(r) for r in ngram_join._links(every, whole, 90).collect()}
+    assert len(links) >= 60
+    passed = [{tuple(r) for r in ngram_join._filtered(every, whole.drop(*drop).withColumnRenamed("o1" if drop else "o0", "o0"), n, 90).collect()} for drop, n in (((), 2), (("o0",), 2), ((), 3))]
+    one, other, both = passed
+    assert links <= both == one & other and both < one and both < other and len(one) < every.count()
+
+
+def test_element_of_thousands_of_classes(spark):
+    """One five-word passage in 3,000 texts of many lengths, most otherwise unlike: few pairs meet, and the near copies are found."""
+    draw = np.random.default_rng(6)
+    texts = ["same five words in all " + " ".join(f"w{x}" for x in draw.integers(0, 10**7, draw.integers(0, 40))) for _ in range(3000)]
+    long = "same five words in all " + " ".join(f"u{k}" for k in range(80))
+    texts += [long, long + " end", long + " other"]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: (r["n_similar"], r["component_id"]) for r in ngram_join.similar(df).collect()}
+    s = sets([(k, t) for k, t in enumerate(texts)])
+    short = [k for k in range(len(s)) if len(s[k]) <= 12]
+    want = Counter(a for a in short for b in short if a != b and 100 * len(s[a] & s[b]) >= 90 * len(s[a] | s[b]))
+    assert [got[k] for k in range(3000, 3003)] == [(2, 3000)] * 3
+    assert all(got[k][0] == want[k] for k in short) and all(got[k] == (0, k) for k in range(3000) if len(s[k]) > 12)
+
+
+def test_repeated_rows_take_no_places(spark):
+    """Equal rows of a class are one class row; else they would fill its prefix and hide links."""
+    base = [f"w{k}" for k in range(60)]
+    other = base[:30] + ["x"] + base[31:]
+    df = spark.createDataFrame([(1, " ".join(base))] * 30 + [(2, " ".join(base + ["tail"]))] * 30 + [(3, " ".join(other))], "doc_id bigint, text string")
+    assert set(rows(ngram_join.similar(df).select("doc_id", "n_similar", "component_id"))) == {(1, 59, 1), (2, 59, 1), (3, 0, 3)}
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), ("c", "none")], "doc_id string, text string")
+    assert rows(ngram_join.similar(df).select("doc_id", "n_similar", "component_id")) == [("a", 1, "a"), ("b", 1, "a"), ("c", 0, "c")]
+    assert rows(ngram_join.one_of_each(df).select("doc_id")) == [("a",), ("c",)]
