@@ -12,8 +12,8 @@ windows that can repeat are compared here:
 3. Spans come together by text, are merged, and cut out.
 
 Hot keys: a passage that very many texts share is counted by partial aggregation, and joins on hot anchors are left to adaptive skew
-handling. No group is ever collected, except the spans of one text, which its length bounds. Windows are compared by 64-bit polynomial
-hashes with random letter values, texts are told apart by a 64-bit hash.
+handling; copies of a text that is hot itself, and all short texts, lie in any bucket. No group is ever collected, except the spans of one text, which
+its length bounds. Bytes are compared by pairs of 64-bit polynomial hashes with random letter values, texts are told apart by a 64-bit hash.
 
 Cases: null text counts as empty; texts shorter than `size` keep everything; equal texts of at least `size` bytes lose everything;
 overlapping matches count, inside one text too; ties between places need no order, as all go; repeated rows are copies; very long
@@ -28,10 +28,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh_path, map_batches, staged, utf8
+from millrace.llm.common import fresh_path, map_batches, staged, utf8, with_id
 
 SIZE, GRAM = 200, 40
 #: Bytes hashed at once; a place in a piece takes PLACE bits of an ordering key.
@@ -200,56 +200,82 @@ class _Windows:
         self.size = size
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, hashes, places, known = [], [], [], []
+        keys, hashes, places, known, cores = [], [], [], [], []
         for t, text, listed in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
             for r in listed:
                 a, n = r["first"], r["n"]
                 hashes.append(Hashes(np.frombuffer(text, np.uint8, n + self.size - 1, a)).every(self.size))
                 places.append(np.arange(a, a + n, dtype=np.int64))
                 known.append(np.full(n, r["known"]))
+                cores.append(np.full(n, r["core"], np.int64))
                 keys.append(np.full(n, t, np.int64))
-        t, place, h, k = (np.concatenate(x) for x in (keys, places, hashes, known))
-        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(place), pa.array(h.view(np.int64)), pa.array(k)], ["t", "first", "hash", "known"])
+        t, place, core, h, k = (np.concatenate(x) for x in (keys, places, cores, hashes, known))
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(place), pa.array(core), pa.array(h.view(np.int64)), pa.array(k)], ["t", "first", "core", "hash", "known"])
 
 
-def _twice(rows: DataFrame, key: str) -> DataFrame:
+def _twice(rows: DataFrame, *keys: str) -> DataFrame:
     """The keys that stand for two places or more; a known row stands for two."""
-    return rows.groupBy(key).agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("c")).filter("c > 1").select(key)
+    return rows.groupBy(*keys).agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("c")).filter("c > 1").select(*keys)
 
 
-class Texts:
-    """Rows with a key `__t`, the hash of their text, joined with lists by text three times.
-
-    The rows are written once, bucketed by the key, so that at every size only lists are shuffled for each join."""
-
-    def __init__(self, df: DataFrame, text_col: str):
-        self.rows, self.text_col, self.bucketed = df.withColumn("__t", F.xxhash64(F.col(text_col).cast("string"))), text_col, False
-
-    def view(self, rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select(F.col("__t").alias("t"), F.col(self.text_col).cast("string").alias("text"), *more)
+#: A text is hot if it has more than this share of a bucket's usual rows; so there are at most buckets / HOT of them.
+HOT, BUCKET_BYTES = 0.1, 64 << 20
 
-    def docs(self, size: int) -> DataFrame:
-        return self.view(self.rows).filter(F.octet_length("text") >= size)
 
-    def joined(self, lists: DataFrame, how: str = "inner") -> DataFrame:
-        """The rows with the list of their text (staged rows with __t)."""
-        if not self.bucketed:
-            spark = self.rows.sparkSession
-            n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"millrace_{uuid.uuid4().hex}"
-            self.rows.repartition(n, "__t").write.bucketBy(n, "__t").option("path", fresh_path(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
-            self.rows, self.bucketed = spark.table(name), True
-        return self.rows.join(lists, "__t", how)
+class Texts:
+    """Rows (row: all columns, t: the hash of the text), joined with lists by text three times.
+
+    The rows are written once, bucketed by `t`, so that only lists are shuffled for each join. Buckets follow the bytes of text. Rows that no
+    list names go to any bucket: texts shorter than a window, and the copies of hot texts, of which one stays in place to be read. The
+    table's name is dropped at once; its files stay in the shared folder."""
+
+    def __init__(self, df: DataFrame, text_col: str, size: int):
+        self.text_col, self.size = text_col, size
+        self.columns, self.schema = df.columns, df.schema
+        text = df[text_col].cast("string")
+        rows = df.select(F.struct(*(df[f"`{c.replace('`', '``')}`"] for c in df.columns)).alias("row"), F.xxhash64(text).alias("t"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes"))
+        self.rows = self._bucketed(rows)
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        long = F.col("bytes") >= self.size
+        counts = staged(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b"), F.max("bytes").alias("bytes")), "copies")
+        total, volume = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), volume // BUCKET_BYTES + 1)
+        hot = counts.filter(long & (F.col("c") > max(1.0, HOT * total / n))).select("t", F.lit(True).alias("hot"))  # at most n / HOT rows
+        rows = rows.join(F.broadcast(hot), "t", "left")
+        away = F.col("hot").isNotNull() | ~long
+        named = rows.select("row", F.when(away, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("t")).alias("t"), F.col("hot").isNotNull().alias("whole"), (~away).alias("listed"))
+        one = rows.filter("hot").groupBy("t").agg(F.first(F.struct("row")).alias("r")).select("r.row", "t", F.lit(False).alias("whole"), F.lit(True).alias("listed")).withColumn("spare", F.lit(True))
+        name = f"millrace_{uuid.uuid4().hex}"
+        named.withColumn("spare", F.lit(False)).unionByName(one).repartition(n, "t").write.bucketBy(n, "t").option("path", fresh_path(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
+        table = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
+        return table
+
+    def text(self) -> Column:
+        return F.col("row").getField(self.text_col).cast("string").alias("text")
+
+    def docs(self) -> DataFrame:
+        """Texts of at least a window. A hot text is there once more than its one row in place, so that it still counts as repeated."""
+        times = F.array_repeat(F.lit(1), F.when(F.col("spare"), 2).otherwise(1))
+        return self.rows.filter("listed").select("t", self.text(), F.explode(times).alias("one")).select("t", "text")
 
     def listed(self, rows: DataFrame, *fields: str) -> DataFrame:
-        """(t, text, __listed) for every text that rows (with t) name. Only texts that come once have rows that are not known, so copies need no care."""
-        lists = staged(rows.groupBy(F.col("t").alias("__t")).agg(F.collect_list(F.struct(*fields)).alias("__listed")), "listed")
-        return self.view(self.joined(lists), "__listed")
+        """(t, text, list) for every text that rows (with t) name. Only texts that come once have rows that are not known, so copies need no care."""
+        lists = staged(rows.groupBy("t").agg(F.collect_list(F.struct(*fields)).alias("list")), "listed")
+        return self.rows.filter("listed").join(lists, "t").select("t", self.text(), "list")
+
+    def with_spans(self, spans: DataFrame) -> DataFrame:
+        """The rows' columns, named c0, c1 and on, and their spans."""
+        every = F.when(F.col("whole"), F.array(F.struct(F.lit(0).cast("bigint").alias("first"), F.octet_length(self.text()).cast("bigint").alias("end")))).when(F.col("listed"), F.col("spans"))
+        return self.rows.filter("not spare").join(spans, "t", "left").select(*(F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(self.columns)), every.alias("spans"))
 
 
-def repeated_spans(texts: Texts, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """Staged rows (__t, __spans): the hash of each text with repeats, and its maximal byte ranges {first, end} that repeat, in order."""
-    docs = texts.docs(size)
-    found = map_batches(docs, _Regions(size, gram), "t bigint, first bigint, many int, anchor bigint, region bigint")
+def repeated_spans(texts: Texts, gram: int = GRAM) -> DataFrame:
+    """Staged rows (t, spans): the hash of each text with repeats, and its maximal byte ranges {first, end} that repeat, in order."""
+    size = texts.size
+    found = map_batches(texts.docs(), _Regions(size, gram), "t bigint, first bigint, many int, anchor bigint, region bigint")
     groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("region").alias("low"), F.max("region").alias("high")).filter("c > 1")
     shared = staged(found.join(groups.select("anchor", (F.col("low") != F.col("high")).alias("mixed")), "anchor"), "regions")
     mixed = shared.filter("mixed")
@@ -258,23 +284,24 @@ def repeated_spans(texts: Texts, size: int = SIZE, gram: int = GRAM) -> DataFram
     spans = whole.select("t", "first", (F.col("first") + F.col("many") + (size - 1)).alias("end"))
     cut = map_batches(texts.listed(kinds.select("one.*", (F.col("c") > 1).alias("known")), "first", "many", "known"), _Blocks(size, gram, STEP), "t bigint, known boolean, first bigint, n int, place int, core bigint, whole bigint")
     parts = staged(cut, "blocks")
-    # A block repeats whole if all its bytes do, and not at all if what its windows share does not; few are left between.
-    whole = _twice(parts.filter("whole <> 0"), "whole").withColumn("full", F.lit(True))
-    open_ = staged(parts.filter("not known").join(_twice(parts, "core"), "core", "left_semi").join(whole, "whole", "left").select("t", "first", "n", "core", F.coalesce("full", F.lit(False)).alias("full")), "open")
+    # A block repeats whole if all its bytes do, and not at all if what its windows share does not; few are left between. What is taken for a
+    # repeat is told by two hashes of different bytes: anchor and region, core and whole, core and window.
+    whole = _twice(parts.filter("whole <> 0"), "core", "whole").withColumn("full", F.lit(True))
+    open_ = staged(parts.filter("not known").join(_twice(parts, "core"), "core", "left_semi").join(whole, ["core", "whole"], "left").select("t", "first", "n", "core", F.coalesce("full", F.lit(False)).alias("full")), "open")
     full = open_.filter("full").select("t", "first", (F.col("first") + F.col("n") + (size - 1)).alias("end"))
     own = F.when(F.col("whole") != 0, F.col("whole")).otherwise(F.xxhash64("t", "first"))
     asked = parts.join(open_.filter("not full").select("core").distinct(), "core", "left_semi").withColumn("own", own)
     kinds = asked.groupBy("core", "own", "place", "n").agg(F.min(F.struct("t", "first")).alias("one"), F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("c"))
-    windows = map_batches(texts.listed(kinds.select("one.*", "n", (F.col("c") > 1).alias("known")), "first", "n", "known"), _Windows(size), "t bigint, first bigint, hash bigint, known boolean")
+    windows = map_batches(texts.listed(kinds.select("one.*", "n", "core", (F.col("c") > 1).alias("known")), "first", "n", "core", "known"), _Windows(size), "t bigint, first bigint, core bigint, hash bigint, known boolean")
     windows = staged(windows, "windows")
-    single = full.union(windows.filter("not known").join(_twice(windows, "hash"), "hash", "left_semi").select("t", "first", (F.col("first") + size).alias("end")))
+    single = full.union(windows.filter("not known").join(_twice(windows, "core", "hash"), ["core", "hash"], "left_semi").select("t", "first", (F.col("first") + F.lit(size)).alias("end")))
     together = spans.union(single).groupBy("t").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-    return staged(map_batches(together, _merge, "__t bigint, __spans array<struct<first: bigint, end: bigint>>"), "spans")
+    return staged(map_batches(together, _merge, "t bigint, spans array<struct<first: bigint, end: bigint>>"), "spans")
 
 
 def _merge(batch: pa.RecordBatch) -> pa.RecordBatch:
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"first": a, "end": b} for a, b in merged(s)] for s in batch.column(1).to_pylist()], kind)], ["__t", "__spans"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"first": a, "end": b} for a, b in merged(s)] for s in batch.column(1).to_pylist()], kind)], ["t", "spans"])
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -300,29 +327,25 @@ def _digest(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _with_spans(df: DataFrame, text_col: str, size: int, gram: int) -> DataFrame:
-    texts = Texts(df, text_col)
-    return texts.joined(repeated_spans(texts, size, gram), "left").select(*df.columns, "__spans")
-
-
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """One row for each row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = _with_spans(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")), "text", size, gram)
-    return map_batches(rows, _digest, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string").withColumnRenamed("id", id_col)
+    slim = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
+    texts = Texts(slim, "text", size)
+    return map_batches(texts.with_spans(repeated_spans(texts, gram)), _digest, with_id(slim, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")).withColumnRenamed("id", id_col)
 
 
 class _Cut:
-    def __init__(self, at: int):
-        self.at = at
+    def __init__(self, at: int, names: list[str]):
+        self.at, self.names = at, names
 
     def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_columns - 1
         texts = batch.column(self.at).to_pylist()
         cut = [t if not s else _kept(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(texts, batch.column(n).to_pylist())]
-        return pa.RecordBatch.from_arrays([pa.array(cut, batch.column(k).type) if k == self.at else batch.column(k) for k in range(n)], names=batch.schema.names[:n])
+        return pa.RecordBatch.from_arrays([pa.array(cut, batch.column(k).type) if k == self.at else batch.column(k) for k in range(n)], names=self.names)
 
 
 def without_repeats(df: DataFrame, text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """df with the repeated bytes cut out of its text; signs that a cut splits go too. Every row stays, if with an empty text."""
-    rows = _with_spans(df, text_col, size, gram)
-    return map_batches(rows, _Cut(df.columns.index(text_col)), df.schema.simpleString()[len("struct<") : -1])
+    texts = Texts(df, text_col, size)
+    return map_batches(texts.with_spans(repeated_spans(texts, gram)), _Cut(df.columns.index(text_col), df.columns), df.schema)
