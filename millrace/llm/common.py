@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,11 @@ def remember(key: str, make: Callable[[], object]) -> object:
 BATCH_BYTES = 8 << 20
 
 
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a URI, and the path in it; Hadoop's names of S3 are taken too."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 _UNITS = {u: 1 << 10 * k for k, u in enumerate("bkmgtp")}
 
 

@@ -4,9 +4,9 @@ write_archives() writes one gzip member per record; of pages with equal payloads
 response, and the others revisit it. Every task writes archives of its own into the shared folder, and only archives named in the manifest
 that Spark commits count, so a repeated task does no harm.
 
-capture_index() is an external merge. Each archive is read back record by record into a run sorted by URL key, timestamp and id; runs are
-cut by sampled splitters of that whole key (a URL with very many captures is cut too), and each range is merged from its slices of all
-runs by a loser tree, in several passes if there are more runs than `fan_in`. Ranges are in order, and so are the rows of each: together they
+capture_index() is an external merge. Each archive is read back record by record into a run sorted by URL key, timestamp and id; groups of
+`fan_in` runs are cut by sampled splitters of that whole key (a URL with very many captures is cut too), and each range is merged from its
+slices of the group's runs by a loser tree, pass after pass until one run is left. Ranges are in order, and so are the rows of each: together they
 are the globally ordered capture histories.
 
 Cases: a null payload is an empty one; empty payloads and those under `least` bytes are never revisits; equal ids with equal payloads: each
@@ -25,14 +25,16 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh_path, modest_batches, staged
+from millrace.llm.common import filesystem, fresh_path, modest_batches, staged
 from millrace.ship import ship
 
-LEAST, LEVEL, ARCHIVE_BYTES, FAN_IN, SAMPLE_EVERY = 1000, 1, 64 << 20, 64, 500
+LEAST, LEVEL, ARCHIVE_BYTES, FAN_IN = 1000, 1, 64 << 20, 64
+#: Rows that a range of a merge has, and keys of a run that are sampled in so many rows.
+RANGE_ROWS, SAMPLES = 50_000, 50
 #: Timestamps of pages that bring none: this moment, and a second more for each id.
 EPOCH = 1_704_067_200
 _URL = re.compile(r"^(?:([a-z][a-z0-9+.-]*):)?(?://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d*))?)?([^?#]*)(\?[^#]*)?", re.I | re.S)
@@ -70,7 +72,7 @@ class _Write:
         self.folder, self.level, self.most = folder, level, most
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = fs.FileSystem.from_uri(self.folder)
+        system, root = filesystem(self.folder)
         system.create_dir(root, recursive=True)
         out, name, size, n = None, "", 0, 0
         done = lambda: pa.RecordBatch.from_arrays([pa.array([f"{self.folder}/{name}"]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["archive", "records", "bytes"])
@@ -112,7 +114,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 def records(path: str) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
     """(headers, block, offset, length of the gzip member) of each record; one record is in memory at a time."""
-    system, name = fs.FileSystem.from_uri(path)
+    system, name = filesystem(path)
     with system.open_input_stream(name, compression=None) as source:
         start, data = 0, source.read(1 << 20)
         while data:
@@ -184,7 +186,7 @@ class LoserTree:
 
 def _slice(path: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
     """Rows of a sorted run with low <= key < high; row groups outside the URL keys are skipped."""
-    system, name = fs.FileSystem.from_uri(path)
+    system, name = filesystem(path)
     with system.open_input_file(name) as f:
         run = pq.ParquetFile(f)
         for g in range(run.num_row_groups):
@@ -208,66 +210,111 @@ def _batches(rows: Iterator[tuple], size: int = 5000) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), INDEX.types)], schema=INDEX)
 
 
-def _run(rows: Iterator[tuple], folder: str, group: int) -> tuple[str, list[tuple]]:
-    """Writes sorted rows as a run; its path and every so many keys."""
-    system, root = fs.FileSystem.from_uri(folder)
+_KEY = "struct<u: string, t: bigint, p: bigint, a: string, o: bigint>"
+_FILES = f"run bigint, path string, low {_KEY}, high {_KEY}, keys array<{_KEY}>"
+_KEY_TYPE = pa.struct([("u", pa.string()), ("t", pa.int64()), ("p", pa.int64()), ("a", pa.string()), ("o", pa.int64())])
+
+
+def _write_run(rows: Iterator[tuple], folder: str, run: int, every: int) -> pa.RecordBatch | None:
+    """Writes sorted rows as a file of a run; its description: run, path, first and last key, and every so many keys."""
+    system, root = filesystem(folder)
     system.create_dir(root, recursive=True)
-    name, keys = f"{uuid.uuid4().hex}.parquet", []
+    name, keys, n, first, last = f"{uuid.uuid4().hex}.parquet", [], 0, None, None
     with system.open_output_stream(f"{root}/{name}", compression=None) as f, pq.ParquetWriter(f, INDEX) as out:
-        for batch in _batches(rows, group):
+        for batch in _batches(rows):
             out.write_batch(batch)
-            keys += [_key(tuple(c[k].as_py() for c in batch.columns)) for k in range(0, batch.num_rows, SAMPLE_EVERY)]
-    return f"{folder}/{name}", keys
-
-
-_RUN_DDL = "path string, keys array<struct<u: string, t: bigint, p: bigint, a: string, o: bigint>>"
-
+            at = lambda k: _key(tuple(c[k].as_py() for c in batch.columns))  # noqa: B023, E731
+            keys += [at(k) for k in range(-n % every, batch.num_rows, every)]
+            first, last, n = first or at(0), at(batch.num_rows - 1), n + batch.num_rows
+    if not n:
+        return None
+    key = lambda x: dict(zip("utpao", x))
+    return pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([key(first)], _KEY_TYPE), pa.array([key(last)], _KEY_TYPE), pa.array([[key(k) for k in keys]], pa.list_(_KEY_TYPE))], ["run", "path", "low", "high", "keys"])
 
-def _run_batch(path: str, keys: list[tuple]) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("u", pa.string()), ("t", pa.int64()), ("p", pa.int64()), ("a", pa.string()), ("o", pa.int64())]))
-    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([[dict(zip("utpao", k)) for k in keys]], kind)], ["path", "keys"])
 
+def _merge_tasks(files: DataFrame, fan_in: int, per_range: int) -> DataFrame:
+    """(run, k, low, high, paths): for each group of fan_in runs, ranges of keys in order and the files that may hold rows of each.
 
-def _tasks(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    """One task for each row, in order."""
-    return spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), ddl)
+    Cuts are every per_range-th of the sampled keys, taken from a distributed sort; a file's first and last range come from its place among the
+    cuts. Only cuts and file names meet in a window, one for each file's worth of rows."""
+    files = files.withColumn("run", F.floor(F.col("run") / fan_in))
+    keys = files.select("run", F.explode("keys").alias("key"))
 
-
-def capture_index(manifest: DataFrame, ranges: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
-    """Reads the archives back: one row for each record, in order of (urlkey, ts, page_id)."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, n = None, 0
+        for batch in batches:
+            runs, out = batch.column(0).to_pylist(), []
+            for k, run in enumerate(runs):
+                n = 0 if run != before else n + 1
+                before = run
+                if n % per_range == 0:
+                    out.append(k)
+            yield batch.take(pa.array(out, pa.int64()))
+
+    cuts = staged(keys.repartitionByRange("run", "key").sortWithinPartitions("run", "key").mapInArrow(cut, f"run bigint, key {_KEY}").distinct(), "cuts")
+    ordered = W.partitionBy("run").orderBy("key")
+    ranges = cuts.select("run", (F.row_number().over(ordered) - 1).alias("k"), "key", F.lead("key").over(ordered).alias("high"))
+    # Rows before the first cut belong to its range: the smallest key of all is a sampled one, so there are none.
+    ends = files.select("run", "path", F.explode(F.array(F.struct(F.col("low").alias("key"), F.lit(0).alias("end")), F.struct(F.col("high").alias("key"), F.lit(1).alias("end")))).alias("x")).select("run", "path", "x.key", "x.end")
+    both = cuts.select("run", F.lit(None).cast("string").alias("path"), "key", F.lit(-1).alias("end")).unionByName(ends)
+    ranked = both.withColumn("k", F.sum(F.when(F.col("end") == -1, 1).otherwise(0)).over(W.partitionBy("run").orderBy("key", "end").rowsBetween(W.unboundedPreceding, 0)) - 1).filter("end >= 0")
+    spans = ranked.groupBy("run", "path").agg(F.min("k").alias("a"), F.max("k").alias("b"))
+    held = spans.select("run", "path", F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("k")).groupBy("run", "k").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return ranges.join(held, ["run", "k"]).select("run", "k", F.col("key").alias("low"), "high", "paths")
+
+
+def _read_tasks(batch: pa.RecordBatch) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(run, merged rows) of each task of a batch (run, k, low, high, paths), in order."""
+    tuple_of = lambda x: None if x is None else tuple(x[c] for c in "utpao")
+    for run, low, high, paths in zip(*(batch.column(j).to_pylist() for j in (0, 2, 3, 4))):
+        yield run, iter(LoserTree([_slice(p, tuple_of(low), tuple_of(high)) for p in paths]))
+
+
+def capture_index(manifest: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Reads the archives back: one row for each record, in order of (urlkey, ts, page_id). `manifest` is a staged table.
+
+    Every pass merges fan_in runs at a time, each group by ranges of about range_rows rows, so passes keep all executors busy; the driver holds
+    only the number of runs."""
     spark = manifest.sparkSession
     ship(spark)
-    folder = fresh_path(spark, "runs")
+    modest_batches(spark)
+    folder, every = fresh_path(spark, "runs"), max(1, range_rows // SAMPLES)
+    per_range = max(1, range_rows // every)
 
     def read(batches):
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows = sorted((_entry(h, b, path, at, n) for h, b, at, n in records(path)), key=_key)
-                yield _run_batch(*_run(iter(rows), folder, 5000))
+            for run, path in zip(*(batch.column(j).to_pylist() for j in (0, 1))):
+                done = _write_run(iter(sorted((_entry(h, b, path, at, n) for h, b, at, n in records(path)), key=_key)), folder, run, every)
+                if done is not None:
+                    yield done
 
-    def merge_groups(batches):
+    def merge_files(batches):
         for batch in batches:
-            for paths in batch.column(0).to_pylist():
-                yield _run_batch(*_run(iter(LoserTree([_slice(p, None, None) for p in paths])), folder, 5000))
+            for run, rows in _read_tasks(batch):
+                done = _write_run(rows, folder, run, every)
+                if done is not None:
+                    yield done
 
-    archives = [(r["archive"],) for r in manifest.select("archive").collect()]
-    if not archives:
-        return spark.createDataFrame([], _DDL)
-    found = staged(_tasks(spark, archives, "archive string").mapInArrow(read, _RUN_DDL), "runs").collect()
-    while len(found) > fan_in:
-        groups = [([r["path"] for r in found[k : k + fan_in]],) for k in range(0, len(found), fan_in)]
-        found = staged(_tasks(spark, groups, "paths array<string>").mapInArrow(merge_groups, _RUN_DDL), "runs").collect()
-    paths, keys = [r["path"] for r in found], sorted(tuple(k) for r in found for k in r["keys"])
-    n = max(1, min(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), len(keys)))
-    cuts = [keys[len(keys) * k // n] for k in range(1, n)]
-
-    def merge(batches):
+    def merge_rows(batches):
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                low, high = cuts[k - 1] if k else None, cuts[k] if k < len(cuts) else None
-                yield from _batches(iter(LoserTree([_slice(p, low, high) for p in paths])))
+            for _, rows in _read_tasks(batch):
+                yield from _batches(rows)
 
-    return _tasks(spark, [(k,) for k in range(n)], "k int").mapInArrow(merge, _DDL)
+    runs = manifest.count()
+    if not runs:
+        return spark.createDataFrame([], _DDL)
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    archives = manifest.select(F.xxhash64("archive").alias("h"), "archive").repartition(min(runs, max(slots, runs // 4)), "h")
+    # Runs are numbered by archive, evenly enough for groups: numbers only say which runs are merged together.
+    numbered = archives.select(F.pmod("h", F.lit(runs)).alias("run"), "archive")
+    files = staged(numbered.mapInArrow(read, _FILES), "runs")
+    groups = runs
+    while groups > fan_in:
+        tasks = _merge_tasks(files, fan_in, per_range)
+        files, groups = staged(tasks.repartition("run", "k").mapInArrow(merge_files, _FILES), "runs"), -(-groups // fan_in)
+    tasks = staged(_merge_tasks(files, fan_in, per_range), "tasks")
+    n = max(1, min(tasks.count(), max(slots, runs)))
+    return tasks.repartitionByRange(n, "k").sortWithinPartitions("k").mapInArrow(merge_rows, _DDL)
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:
