@@ -4,7 +4,7 @@ Every language that the training rows name gets a model of order 5 over the lett
 crosses a word. Counts cover all training rows: tasks count the 5-grams of their distinct words, Spark adds the counts up and gets the
 lower orders, discounts and contexts from all of them. The counts are stored as sorted arrays of hashed n-grams, cut into shards in the
 shared folder, which workers map; probabilities are made from them at lookup, and an absent n-gram backs off to the next shorter one. A text goes to the language with the lowest cross-entropy per letter. It is rejected if it has no
-letter, or if that cross-entropy is further above the language's usual one than (nearly) any training text's is.
+letter, or if that cross-entropy is further above the language's usual one than (nearly) any text's is that was labelled but not counted.
 
 Every n-gram is kept: the model grows with the training text on disk, in files of about a million rows, and not in what is sent.
 
@@ -28,16 +28,19 @@ import regex
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import fresh_path, map_batches, remember, staged, utf8
+from millrace.llm.common import filesystem, fresh_path, map_batches, remember, staged, utf8
 
 #: A code point's low bits and high bits are packed apart, as five whole ones exceed an integer.
 ORDER, BITS, HIGH_BITS = 5, 12, 9
 #: No letters, so no word has them.
 PAD, END = "\1", "\2"
-#: Rows in a shard; rows that calibrate rejection; chunks that a worker remembers; bytes of text and new words scored at once.
-SHARD_ROWS, CALIBRATION_ROWS, REMEMBERED, AT_ONCE, WORDS = 1_000_000, 4000, 250_000, 2_000_000, 10_000
-_RUNS = regex.compile(r"\p{L}+").findall
+#: Rows in a shard; one training text in so many calibrates rejection, with this margin; chunks that a worker remembers; bytes of text and new
+#: words scored at once.
+SHARD_ROWS, CALIBRATION, LOOSE, REMEMBERED, AT_ONCE, WORDS = 1_000_000, 16, 1.5, 250_000, 2_000_000, 10_000
+#: Letters and the marks that follow them.
+_RUNS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 def grams(words: list[str], high: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +74,12 @@ def _distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
-    chunks: dict[str, Counter] = defaultdict(Counter)
-    for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-        chunks[lang].update(text.split())
+    """The 5-grams of the texts (lang, text, unseen), by language and whether the text is unseen."""
+    chunks: dict[tuple, Counter] = defaultdict(Counter)
+    for lang, text, unseen in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+        chunks[lang, unseen].update(text.split())
     out = []
-    for lang, found in chunks.items():
+    for kind, found in chunks.items():
         words: Counter = Counter()
         for chunk, n in found.items():
             for w in _RUNS(chunk.decode().lower()):
@@ -83,10 +87,10 @@ def _count(batch: pa.RecordBatch) -> pa.RecordBatch:
         if words:
             keys, sizes = grams(list(words))
             unique, high, where = _distinct(keys, grams(list(words), high=True)[0])
-            out.append((lang, unique, high, np.bincount(where, np.repeat(np.fromiter(words.values(), float), sizes))))
-    langs = pa.array([x for lang, u, *_ in out for x in [lang] * len(u)], pa.string())
+            out.append((kind, unique, high, np.bincount(where, np.repeat(np.fromiter(words.values(), float), sizes))))
+    of = lambda j, t: pa.array([x for kind, u, *_ in out for x in [kind[j]] * len(u)], t)
     join = lambda k, t: np.concatenate([o[k] for o in out]).astype(t) if out else np.empty(0, t)
-    return pa.RecordBatch.from_arrays([langs, pa.array(join(1, np.int64)), pa.array(join(2, np.int64)), pa.array(join(3, np.int64))], ["lang", "gram", "high", "n"])
+    return pa.RecordBatch.from_arrays([of(0, pa.string()), *(pa.array(join(k, np.int64)) for k in (1, 2, 3)), of(1, pa.bool_())], ["lang", "gram", "high", "n", "unseen"])
 
 
 def _hashed(kind: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -116,7 +120,7 @@ class Shards:
         if k not in self.opened:
             part = self.parts[k]
             if isinstance(part, str):
-                system, at = fs.FileSystem.from_uri(part)
+                system, at = filesystem(part)
                 rows = pa.ipc.open_file(pa.memory_map(at) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(at)).get_batch(0)
                 part = tuple(rows.column(j).to_numpy() for j in range(4))
             self.opened[k] = part
@@ -217,7 +221,7 @@ class _Write:
         found = [b for b in batches if b.num_rows]
         if not found:
             return
-        system, root = fs.FileSystem.from_uri(self.folder)
+        system, root = filesystem(self.folder)
         system.create_dir(root, recursive=True)
         rows = pa.Table.from_batches(found).combine_chunks()
         shard = rows["shard"].to_numpy()
@@ -347,42 +351,58 @@ class _Predict:
         return step
 
 
-def train(df: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Models from the rows of df where `keep` holds and language and text are there."""
-    rows = df.filter(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    counts = map_batches(rows.select("lang", "text"), _count, "lang string, gram bigint, high bigint, n bigint").groupBy("lang", "gram", "high").agg(F.sum("n").alias("n"))
-    model = _fitted(staged(counts, f"grams{ORDER}"))
+def train(df: DataFrame, keep: Column, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Models from the rows of df where `keep` holds and language and text are there; all of them are counted.
+
+    The level of rejection comes from models like these that do not count one text in CALIBRATION, chosen by its hash: these texts, unseen by
+    them, set it half as high again as their 0.999 quantile. Where there are none, all training texts do."""
+    rows = df.filter(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("unseen", F.pmod(F.xxhash64(F.lit("calibration"), "text"), F.lit(CALIBRATION)) == 0)
+    found = map_batches(rows.select("lang", "text", "unseen"), _count, "lang string, gram bigint, high bigint, n bigint, unseen boolean")
+    counts = staged(found.groupBy("lang", "gram", "high").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("unseen"), 0).otherwise(F.col("n"))).alias("m")), f"grams{ORDER}")
+    model = _fitted(counts.select("lang", "gram", "high", "n"))
     if model.langs:
-        ids = [r[0] for r in rows.select("id").filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS).collect()]
-        ids_df = df.sparkSession.createDataFrame([(x,) for x in set(ids)], df.select(F.col(id_col).alias("id")).schema) if ids else None
-        if ids_df is not None:
-            seen = predict(rows.join(F.broadcast(ids_df), "id", "left_semi").select("id", "text"), model, "id", "text").select("above").toArrow()["above"].to_numpy()
-            model.limit = 2 * max(1.0, float(np.quantile(seen, 0.999))) if len(seen) else np.inf
+        part = _fitted(counts.filter("m > 0").select("lang", "gram", "high", F.col("m").alias("n")))
+        above = None
+        if part.langs:
+            above = _quantile(rows.filter("unseen"), part)
+        if above is None:
+            above = _quantile(rows, model)
+        model.limit = LOOSE * max(1.0, above)
     return model
 
 
+def _quantile(rows: DataFrame, model: Model) -> float | None:
+    """How far nearly all of the texts with letters lie above the usual, in units of it."""
+    return predict(rows.select("lang", "text"), model, "lang", "text").filter("cross_entropy is not null").agg(F.percentile_approx("above", 0.999, 10_000)).first()[0]
+
+
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: id_col, lang_pred, score, cross_entropy, above (its excess in units of the usual), rejected."""
     if not model.langs:
         return df.select(F.col(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(0.0).alias("above"), F.lit(True).alias("rejected"))
     slim = df.select(F.col(id_col).alias("c0"), F.col(text_col).cast("string").alias("text"))
-    schema = f"c0 {slim.schema['c0'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, above double, rejected boolean"
+    schema = T.StructType([slim.schema["c0"], *T.StructType.fromDDL("lang_pred string, score double, cross_entropy double, above double, rejected boolean")])
     return map_batches(slim, _Predict(model, uuid.uuid4().hex), schema).withColumnRenamed("c0", id_col)
 
 
 class _Keep(_Predict):
     """Passes whole rows on, the rejected left out."""
 
+    def __init__(self, model: Model, token: str, at: int):
+        super().__init__(model, token)
+        self.at = at
+
     def open(self):
         inner = super().open()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bad = inner(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], ["text"])).column(4)
+            bad = inner(pa.RecordBatch.from_arrays([batch.column(self.at)], ["text"])).column(4)
             return batch.filter(pa.compute.invert(bad))
 
         return step
 
 
-def kept(df: DataFrame, model: Model) -> DataFrame:
-    """The rows of df, a table with a column text, whose text is not rejected; nothing is judged where no language could be learned."""
-    return map_batches(df, _Keep(model, uuid.uuid4().hex), df.schema.simpleString()[len("struct<") : -1]) if model.langs else df
+def kept(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df whose text is not rejected; nothing is judged where no language could be learned."""
+    return map_batches(df, _Keep(model, uuid.uuid4().hex, df.columns.index(text_col)), df.schema) if model.langs else df
