@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,16 +14,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.ship import ship
-from millrace.workspace import fresh_path
+from millrace.workspace import Files, fresh_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+#: Drops a query's shuffle files when it is done, instead of when the driver happens to collect its garbage.
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when the query ends; for queries whose result is read again from where they wrote it."""
+    before = spark.conf.get(_DROP, None)
+    spark.conf.set(_DROP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP)
+        else:
+            spark.conf.set(_DROP, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _written.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    Files(df.sparkSession).delete(df.staged_at)
+    _written.remove((df.sparkSession, df.staged_at))
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end all that was staged inside, but for the tables given to what it yields. Nothing else made inside may be read later."""
+    first, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.staged_at)
+        return df
+
+    yield keep
+    for spark, path in _written[first:]:
+        if path not in kept:
+            Files(spark).delete(path)
+    _written[first:] = [x for x in _written[first:] if x[1] in kept]
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -74,7 +120,10 @@ def with_id(slim: DataFrame, ddl: str) -> T.StructType:
 
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
-    """One output batch for each Arrow batch. step is built on the executor's side once for each task if it has an `open` method."""
+    """One output batch for each Arrow batch. step is built on the executor's side once for each task if it has an `open` method; it must go by
+    the columns' places, as columns whose names would need quotes come under others."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = step.open() if hasattr(step, "open") else step
@@ -82,11 +131,12 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
             if batch.num_rows:
                 out = call(batch)
                 if out is not None:
-                    yield out
+                    yield out if out.schema.names == names else pa.RecordBatch.from_arrays(out.columns, names=names)
 
     ship(df.sparkSession)
     modest_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    plain = df if all(re.fullmatch(r"\w+", c) for c in df.columns) else df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import if_small, staged
+from millrace.llm.common import if_small, staged, unstage
 from millrace.llm.quality import words_of
 
 N, PERCENT, ORDERS = 5, 90, 3
@@ -74,7 +74,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = staged(small.filter("u <> v").distinct(), "edges")
+        again = staged(small.filter("u <> v").distinct(), "edges")
+        unstage(edges)
+        edges = again
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh_path, map_batches, staged, utf8, with_id
+from millrace.llm.common import fresh_path, map_batches, staged, tidy, utf8, with_id
 
 SIZE, GRAM = 200, 40
 #: Bytes hashed at once; a place in a piece takes PLACE bits of an ordering key.
@@ -248,7 +248,8 @@ class Texts:
         named = rows.select("row", F.when(away, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("t")).alias("t"), F.col("hot").isNotNull().alias("whole"), (~away).alias("listed"))
         one = rows.filter("hot").groupBy("t").agg(F.first(F.struct("row")).alias("r")).select("r.row", "t", F.lit(False).alias("whole"), F.lit(True).alias("listed")).withColumn("spare", F.lit(True))
         name = f"millrace_{uuid.uuid4().hex}"
-        named.withColumn("spare", F.lit(False)).unionByName(one).repartition(n, "t").write.bucketBy(n, "t").option("path", fresh_path(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
+        with tidy(spark):
+            named.withColumn("spare", F.lit(False)).unionByName(one).repartition(n, "t").write.bucketBy(n, "t").option("path", fresh_path(spark, "texts")).option("compression", "zstd").format("parquet").saveAsTable(name)
         table = spark.table(name)
         spark.sql(f"DROP TABLE {name}")
         return table
