@@ -40,6 +40,39 @@ def changed(agents: DataFrame, key: str, ids: list, status: str) -> DataFrame:
     return agents.withColumn("status", F.when(F.col(key).isin(ids), status).otherwise(F.col("status")))
 
 
+def one(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of one agent, channel or task; reading it is an error if there is none."""
+    found = rows.filter(F.col(key) == F.lit(value)).agg(F.count(F.lit(1)).alias("_n"), *(F.first(c).alias(c) for c in rows.columns))
+    return found.filter(F.when(F.col("_n") == 0, F.raise_error(F.lit(f"not found: {value}")).cast("boolean")).otherwise(True)).select(rows.columns)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """rows less those that `gone` (key) names; a name that is not there is an error when the rows are read."""
+    marked = rows.join(gone.select(F.col(key).alias("_gone")).distinct(), F.col(key) == F.col("_gone"), "full")
+    missing = F.raise_error(F.concat(F.lit("not found: "), F.col("_gone").cast("string"))).cast("boolean")
+    return marked.filter(F.when(F.col(key).isNull() & F.col("_gone").isNotNull(), missing).otherwise(F.col("_gone").isNull())).select(rows.columns)
+
+
+#: A channel belongs to an agent and carries its messages.
+CHANNELS = "channel_id string, agent_id string, kind string"
+
+
+def open_channels(channels: DataFrame, new: DataFrame, agents: DataFrame) -> DataFrame:
+    """channels and the new ones; a channel that is there, or one of an unknown agent, is an error when the rows are read."""
+    known = new.join(agents.select(F.col("agent_id").alias("_known")), F.col("agent_id") == F.col("_known"), "left")
+    checked = known.filter(F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("not found: "), F.col("agent_id"))).cast("boolean")).otherwise(True)).select(new.columns)
+    return create(channels, checked, "channel_id")
+
+
+#: Tasks of the crawl service.
+TASKS = "task_id bigint, name string, state string, submitted_at bigint"
+
+
+def submit(tasks: DataFrame, requests: DataFrame, now_ms: int) -> DataFrame:
+    """tasks and a queued one for each request (task_id, name); a task that is there is an error when the rows are read."""
+    return create(tasks, requests.select("task_id", "name", F.lit("queued").alias("state"), F.lit(now_ms).cast("bigint").alias("submitted_at")), "task_id")
+
+
 def chat(messages: DataFrame, chat_id: str = "conv_id", order: str = "turn", fields: tuple[str, ...] = ("role", "text")) -> DataFrame:
     """One row for each chat with its messages in order."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(order), *(F.col(f) for f in fields))))

@@ -34,9 +34,15 @@ def crawl_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.page_links(table(spark, sf_dir, "pages")).groupBy("page_id", "link", "outlink").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"select regexp_extract(link, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) as host, count(*) as n from (select {_LINK} as link, {_OUT} as o from {_RAW} t) u where o group by 1")
+_AWAY = "(select page_id, url, case when page_id % 2 = 0 then '//cdn' || page_id % 5 || '.example.org/x' else 'HTTP'.lower() || '://h' || page_id % 3 || '.example.com' end as raw from pages union all select * from " + _RAW + " r)"
+
+
+@query(f"select regexp_extract(link, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) as host, count(*) as n from (select {_LINK} as link, {_OUT} as o from {_AWAY} t) u where o group by 1")
 def crawl_outlink_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = crawl.page_links(table(spark, sf_dir, "pages")).filter("outlink")
+    """The pages link to their own hosts only, so each gets one anchor that leads away."""
+    away = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<a href="//cdn'), F.col("page_id") % 5, F.lit('.example.org/x">'))).otherwise(F.concat(F.lit("<a href='http://h"), F.col("page_id") % 3, F.lit(".example.com'>")))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat(away, F.coalesce("html", F.lit(""))))
+    out = crawl.page_links(pages).filter("outlink")
     return out.groupBy(crawl.host_of(F.col("link")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -68,6 +74,34 @@ def crawl_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.allowed(paths, rules)
 
 
+_ROBOTS = "# all\nUser-agent: other\nUser-agent: *\nDisallow: /\n\nUser-Agent: mill # ours\nDisallow: /fr\nAllow: /fr/1\nDisallow: /*9$\nDisallow:\nCrawl-delay: 2.5\nSitemap: /map\n"
+
+
+@query(f"select distinct {_HOST} as host, {_PATH} as path, case when {_PATH} like '/fr/1%' then true when {_PATH} like '/fr%' then false when {_PATH} like '/%9' then false else true end as allowed, 2.5::double as delay from pages")
+def crawl_robots_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robots files read: groups of agents, comments, wildcards, an empty rule, a delay."""
+    paths = table(spark, sf_dir, "pages").select(crawl.host_of(F.col("url")).alias("host"), crawl.path_of(F.col("url")).alias("path")).distinct()
+    rules = crawl.robots_rules(paths.select("host").distinct().withColumn("body", F.lit(_ROBOTS)), "Millrace/1.0")
+    return crawl.allowed(paths, rules).join(rules.select("host", "delay").distinct(), "host")
+
+
+def _fake_web(url: str) -> tuple[int, bytes]:
+    if url.endswith("#top"):
+        raise OSError("no answer")
+    return 404 if "page=" in url else 200, url.encode()[::-1]
+
+
+@query("select u as url, case when u like '%#top' then null when u like '%page=%' then 404 else 200 end::int as status_code, case when u like '%#top' then null else strlen(u) end::bigint as content_length, u like '%#top' as failed, 2::bigint as visits, false as due from (select distinct url as u from pages) t")
+def crawl_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched twice by a given fetcher: status, size, failures as rows; the visit state of each url, none of which is due again."""
+    pages = table(spark, sf_dir, "pages").select("url")
+    got = crawl.captures(pages, _fake_web)
+    visits = crawl.last_visits(got.unionByName(got))
+    due = crawl.due(pages.distinct(), visits, 10**13, 10**13).select(F.col("url").alias("u"))
+    known = got.join(visits.select("url", "visits"), "url").join(due, F.col("url") == F.col("u"), "left")
+    return known.select("url", "status_code", "content_length", F.col("error").isNotNull().alias("failed"), "visits", F.col("u").isNotNull().alias("due"))
+
+
 @query("select event_id, user_id from events order by user_id % 4, ts, event_id limit 30")
 def frontier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("user_id") % 4).alias("priority"), F.unix_micros(F.col("ts").cast("timestamp")).alias("enqueued_ns"), F.col("event_id").alias("tiebreak"))
@@ -112,11 +146,17 @@ def metric_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", metrics.format_series(first, 200).alias("shown"))
 
 
-@query()
+@query("select event_type, true as users_hll, true as users_theta, true as median from events group by event_type")
 def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mergeable sketches by event type: distinct users by HLL and theta, the median by KLL."""
-    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.hll_sketch_agg("user_id").alias("h"), F.theta_sketch_agg("user_id").alias("t"), F.expr("kll_sketch_agg_double(value)").alias("k"))
-    return rows.select("event_type", F.hll_sketch_estimate("h").alias("users_hll"), F.theta_sketch_estimate("t").alias("users_theta"), F.expr("kll_sketch_get_quantile_double(k, 0.5D)").alias("median"))
+    """Mergeable sketches by event type, made by tile, stored, merged: distinct users by HLL and theta within 5 %, the median by KLL within 3 % of ranks."""
+    events = table(spark, sf_dir, "events")
+    tiles = events.groupBy("event_type", (F.col("event_id") % 8).alias("tile")).agg(F.hll_sketch_agg("user_id").alias("h"), F.theta_sketch_agg("user_id").alias("t"), F.expr("kll_sketch_agg_double(value)").alias("k"))
+    path = fresh_path(spark, "sketches")
+    tiles.write.parquet(path)
+    merged = spark.read.parquet(path).groupBy("event_type").agg(F.hll_union_agg("h").alias("h"), F.theta_union_agg("t").alias("t"), F.expr("kll_merge_agg_double(k)").alias("k"))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.percentile("value", F.lit(0.47)).alias("low"), F.percentile("value", F.lit(0.53)).alias("high"))
+    near = lambda c: F.abs(c - F.col("users")) <= F.greatest(0.05 * F.col("users"), F.lit(1.0))
+    return merged.join(exact, "event_type").select("event_type", near(F.hll_sketch_estimate("h")).alias("users_hll"), near(F.theta_sketch_estimate("t")).alias("users_theta"), F.expr("kll_sketch_get_quantile_double(k, 0.5D)").between(F.col("low"), F.col("high")).alias("median"))
 
 
 @query("select 10::bigint as n, 55::bigint as total")
@@ -139,6 +179,15 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.asof_join(left, right, ["k"], "at", "o_orderdate").select("event_id", F.col("r_o_orderkey").alias("o_orderkey"))
 
 
+@query("select e.event_id, o.o_orderkey from (select event_id, user_id % 2 as k, ts - interval 26 year + interval (event_id % 1800) day as at from events) e asof left join (select o_custkey % 2 as k, o_orderdate, max(o_orderkey) as o_orderkey from orders group by 1, 2) o on e.k = o.k and e.at >= o.o_orderdate")
+def asof_join_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys hold all rows: their lines are cut into buckets of 30 days."""
+    left = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 2).alias("k"), F.expr("ts - interval '26' year + make_dt_interval(cast(event_id % 1800 as int))").alias("at"))
+    right = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 2).alias("k"), "o_orderdate").agg(F.max("o_orderkey").alias("o_orderkey"))
+    month = F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / (30 * 86400))
+    return asof.asof_join(left, right, ["k"], "at", "o_orderdate", bucket=month).select("event_id", F.col("r_o_orderkey").alias("o_orderkey"))
+
+
 @query("select p_partkey, band from part join (select * from (values ('low', 0, 10), ('mid', 8, 30), ('high', 25, 51)) v(band, lo, hi)) b on p_size >= lo and p_size < hi")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = spark.createDataFrame([("low", 0, 10), ("mid", 8, 30), ("high", 25, 51)], "band string, lo int, hi int")
@@ -175,6 +224,68 @@ def agent_template_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_nationkey", F.col("properties")["tone"].alias("tone"), F.col("properties")["style"].alias("style"))
 
 
+@query("select n_nationkey::varchar as agent_id, case when n_nationkey = 3 then 'running' when n_nationkey = 4 then 'paused' else 'stopped' end as status, case when n_nationkey = 3 then 'c3' end as channel_id from nation where n_nationkey not in (7, 8)")
+def agent_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents created, started, paused and deleted; a channel opened twice over, one closed again."""
+    nation = table(spark, sf_dir, "nation")
+    named = nation.select(F.col("n_nationkey").cast("string").alias("agent_id"), F.lit("stopped").alias("status"))
+    rows = agents.create(named.filter("agent_id < '5'"), named.filter("agent_id >= '5'"))
+    rows = agents.changed(agents.changed(rows, "agent_id", ["3"], "running"), "agent_id", ["4"], "paused")
+    rows = agents.without(rows, "agent_id", spark.createDataFrame([("7",), ("8",)], "agent_id string"))
+    channels = agents.open_channels(spark.createDataFrame([], agents.CHANNELS), spark.createDataFrame([("c3", "3", "chat"), ("c9", "9", "chat")], agents.CHANNELS), rows)
+    channels = agents.without(channels, "channel_id", spark.createDataFrame([("c9",)], "channel_id string"))
+    return rows.join(channels.select("agent_id", "channel_id"), "agent_id", "left")
+
+
+@query("select task_id, name, state from (select n_nationkey::bigint as task_id, 'crawl ' || lower(n_name) as name, 'queued' as state from nation where n_nationkey <> 2) t where name like '%crawl%' order by task_id limit 5 offset 3")
+def task_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl tasks submitted, one deleted, a page of those that a term and a state name."""
+    wanted = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("task_id"), F.concat(F.lit("crawl "), F.lower("n_name")).alias("name"))
+    tasks = agents.submit(spark.createDataFrame([], agents.TASKS), wanted, 1000)
+    tasks = agents.without(tasks, "task_id", spark.createDataFrame([(2,)], "task_id bigint"))
+    return agents.listed(tasks, "CRAWL", "queued", offset=3, page_size=5).select("task_id", "name", "state")
+
+
+@query("select event_id, round(epoch_us(ts) / 1e6, 6) as x, value as y from events")
+def plot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", metrics.plot_pairs(F.unix_micros(F.col("ts").cast("timestamp")) * 1000, F.col("value")).alias("p"))
+    return rows.select("event_id", F.round("p.x", 6).alias("x"), "p.y")
+
+
+@query("select n_nationkey, case when n_regionkey = 0 then 'own' when n_regionkey = 1 then 'parent' else 'any' end as prompt, 'name (string): its name\nplace (object)\n  town (string)' as fields from nation")
+def label_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts by the spec's own name, its lineage or the default; a schema told in lines."""
+    schema = {"properties": {"name": {"type": "string", "description": "its name"}, "place": {"type": "object", "properties": {"town": {"type": "string"}}}}}
+    prompts = {"leaf": "own", "root": "parent"}
+    chosen = {0: text.prompt_for("leaf", prompts, ["root"], "any"), 1: text.prompt_for("other", prompts, ["gone", "root"], "any")}
+    pick = F.coalesce(*(F.when(F.col("n_regionkey") == k, F.lit(v)) for k, v in chosen.items()), F.lit(text.prompt_for("other", prompts, [], "any")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", pick.alias("prompt"), F.lit(text.describe_json(schema)).alias("fields"))
+
+
+@query("select conv_id, turn, w[1:-2] as inputs, w[2:] as labels from (select conv_id, turn, string_split(text, ' ')[1:8] as w from conversations) t where len(w) >= 2")
+def token_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 8).alias("w")).filter(F.size("w") >= 2)
+    return rows.select("conv_id", "turn", text.inputs_and_labels(F.col("w")).alias("x")).select("conv_id", "turn", "x.inputs", "x.labels")
+
+
+@query("select 'orders' as name, true as planned, true as listed, count(*) as n from orders where o_totalprice > 300000")
+def utility_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE VIEW, SHOW, DESCRIBE, EXPLAIN and CREATE TABLE AS SELECT; what they made is dropped again."""
+    name = "millrace_" + fresh_path(spark, "u").rsplit("-", 1)[1]
+    path = fresh_path(spark, "ctas")
+    table(spark, sf_dir, "orders").createOrReplaceTempView(f"{name}_base")
+    spark.sql(f"create temporary view {name}_view as select * from {name}_base where o_totalprice > 300000")
+    shown = [r["viewName"] for r in spark.sql("show views").collect()]
+    columns = [r["col_name"] for r in spark.sql(f"describe {name}_view").collect()]
+    plan = spark.sql(f"explain formatted select * from {name}_view").first()[0]
+    spark.sql(f"create table {name}_table using parquet location '{path}' as select * from {name}_view")
+    rows = spark.table(f"{name}_table").agg(F.lit("orders").alias("name"), F.lit("PushedFilters" in plan).alias("planned"), F.lit(f"{name}_view" in shown and "o_totalprice" in columns).alias("listed"), F.count(F.lit(1)).alias("n"))
+    spark.sql(f"drop table {name}_table")
+    for v in ("view", "base"):
+        spark.catalog.dropTempView(f"{name}_{v}")
+    return rows
+
+
 @query("select * from (values ('I', 1), ('III', 3), ('IV', 4), ('XC', 90), ('LXXXIX', 89), ('MCMXCIV', 1994)) v(numeral, n)")
 def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(x,) for x in ("I", "III", "IV", "XC", "LXXXIX", "MCMXCIV")], "numeral string")

@@ -16,7 +16,7 @@ sql("join_right", "select n_name, count(s_suppkey) as n_suppliers from {supplier
 sql("join_full", "select coalesce(c_nationkey, s_nationkey) as nationkey, coalesce(nc, 0) as n_customers, coalesce(ns, 0) as n_suppliers from (select c_nationkey, count(*) as nc from {customer} where c_acctbal > 5000 group by c_nationkey) c full outer join (select s_nationkey, count(*) as ns from {supplier} group by s_nationkey) s on c_nationkey = s_nationkey")
 sql("join_cross", "select r_name, seg, count(*) as n from {region} cross join (select distinct c_mktsegment as seg from {customer}) s group by r_name, seg")
 sql("join_semi", "select o_orderkey, o_totalprice from {orders} left semi join (select l_orderkey from {lineitem} where l_quantity >= 49) l on o_orderkey = l_orderkey", "select o_orderkey, o_totalprice from {orders} where o_orderkey in (select l_orderkey from {lineitem} where l_quantity >= 49)")
-sql("join_anti", "select c_custkey, c_name from {customer} left anti join {orders} on c_custkey = o_custkey", "select c_custkey, c_name from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey)")
+sql("join_anti", "select c_custkey, c_name from {customer} left anti join {orders} on c_custkey = o_custkey and o_totalprice > 400000", "select c_custkey, c_name from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey and o_totalprice > 400000)")
 sql("join_theta", "select a.n_nationkey as a, b.n_nationkey as b from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
 sql("join_using", "select n_name, r_name from (select n_name, n_regionkey as k from {nation}) n join (select r_name, r_regionkey as k from {region}) r using (k)")
 sql("join_natural", "select nm, rname from (select n_name as nm, n_regionkey as k from {nation}) n natural join (select r_name as rname, r_regionkey as k from {region}) r")
@@ -69,7 +69,7 @@ sql("sub_recursive", "with recursive t(n, f) as (select 1, cast(1 as bigint) uni
 sql("sub_scalar", "select count(*) as n from {orders} where o_totalprice > (select avg(o_totalprice) from {orders})")
 sql("sub_correlated", "select l_orderkey, l_linenumber from {lineitem} a where l_quantity > (select 1.9 * avg(l_quantity) from {lineitem} b where b.l_partkey = a.l_partkey)")
 sql("sub_exists", "select c_custkey from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey and o_totalprice > 490000)")
-sql("sub_in", "select s_suppkey from {supplier} where s_nationkey in (select n_nationkey from {nation} where n_regionkey = 2) and s_suppkey not in (select l_suppkey from {lineitem} where l_quantity > 49.5)")
+sql("sub_in", "select s_suppkey from {supplier} where s_nationkey in (select n_nationkey from {nation} where n_regionkey = 2) and s_suppkey not in (select l_suppkey from {lineitem} where l_quantity > 49.5 and l_discount > 0.085)")
 sql("sub_values", "select v.k, n_name from (values (1, 'x'), (7, 'y')) as v(k, tag) join {nation} on n_nationkey = v.k")
 
 # Predicates and conditions
@@ -97,3 +97,11 @@ sql("fn_arrays", "select c_nationkey, size(k) as n, k[0] as first, array_contain
 sql("fn_explode", "select w, count(*) as n from (select explode(split(p_name, ' ')) as w from {part}) t group by w", "select w, count(*) as n from (select unnest(string_split(p_name, ' ')) as w from {part}) t group by w")
 sql("fn_struct", "select n_nationkey, s.a as a, s.b as b from (select n_nationkey, named_struct('a', n_name, 'b', n_regionkey + 1) as s from {nation}) t", "select n_nationkey, s.a as a, s.b as b from (select n_nationkey, {'a': n_name, 'b': n_regionkey + 1} as s from {nation}) t")
 sql("fn_pivot", "select * from (select o_orderpriority, o_orderstatus from {orders}) pivot (count(*) for o_orderstatus in ('F' as f, 'O' as o, 'P' as p))", "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as f, count(*) filter (where o_orderstatus = 'O') as o, count(*) filter (where o_orderstatus = 'P') as p from {orders} group by o_orderpriority")
+
+# Members of the families above that stand alone
+sql("agg_approx", "select event_type, abs(approx_count_distinct(user_id, 0.01) - count(distinct user_id)) <= 0.05 * count(distinct user_id) as users_close, abs(percentile_approx(value, 0.5, 10000) - percentile(value, 0.5)) <= 0.02 * percentile(value, 0.5) as median_close, round(median(value), 6) as med from {events} group by event_type", "select event_type, true as users_close, true as median_close, round(median(value), 6) as med from {events} group by event_type")
+sql("agg_grouping_id", "select o_orderstatus, o_orderpriority, grouping_id(o_orderstatus, o_orderpriority) as g, count(*) as n from {orders} group by cube(o_orderstatus, o_orderpriority)", "select o_orderstatus, o_orderpriority, grouping_id(o_orderstatus, o_orderpriority)::bigint as g, count(*) as n from {orders} group by cube(o_orderstatus, o_orderpriority)")
+sql("fn_sha2_family", "select n_nationkey, length(sha2(n_name, 224)) as n224, length(sha2(n_name, 384)) as n384, length(sha2(n_name, 512)) as n512, sha2(n_name, 0) = sha2(n_name, 256) as same from {nation}", "select n_nationkey, 56::int as n224, 96::int as n384, 128::int as n512, true as same from {nation}")
+sql("fn_string_rest", "select p_partkey, btrim(concat('  ', p_type, '  ')) as b, btrim(p_type, 'SE') as bs, position('a' in p_name) as at, regexp_like(p_name, '^[a-m].*e') as hit, strpos_ as s from (select *, locate('e', p_name) as strpos_ from {part}) t", "select p_partkey, trim(concat('  ', p_type, '  ')) as b, trim(p_type, 'SE') as bs, position('a' in p_name)::int as at, regexp_matches(p_name, '^[a-m].*e') as hit, strpos(p_name, 'e')::int as s from {part}")
+sql("fn_temporal_rest", "select o_orderkey, date_part('month', o_orderdate) as m, extract(doy from o_orderdate) as doy, cast(date_part('dow_iso', o_orderdate) as int) as dow, cast(to_timestamp(date_format(o_orderdate, 'yyyy-MM-dd HH:mm'), 'yyyy-MM-dd HH:mm') as timestamp_ntz) as parsed, cast(timestamp_micros(unix_micros(cast(o_orderdate as timestamp)) + 1) as timestamp_ntz) as later, cast(timestamp_seconds(unix_seconds(cast(o_orderdate as timestamp))) as timestamp_ntz) as whole from {orders}", "select o_orderkey, month(o_orderdate)::int as m, dayofyear(o_orderdate)::int as doy, isodow(o_orderdate)::int as dow, date_trunc('minute', o_orderdate)::timestamp as parsed, o_orderdate + interval 1 microsecond as later, date_trunc('second', o_orderdate)::timestamp as whole from {orders}")
+sql("fn_clock_and_chance", "select n_nationkey, now() >= timestamp '2020-01-01' as after, current_date() = cast(now() as date) as today, r >= 0 and r < 1 as unit from (select n_nationkey, rand(7) as r from {nation}) t", "select n_nationkey, true as after, true as today, true as unit from {nation}")

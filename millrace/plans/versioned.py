@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,6 +181,89 @@ def p_hash_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).cast("int").alias("parts"), (F.max("c") < 2 * F.min("c")).alias("even"))
 
 
+# Versions that change their shape
+
+@query("select s_suppkey, s_nationkey, case when s_suppkey = 3 then -1.0 else s_acctbal end as s_acctbal, v from supplier, range(3) t(v) where s_suppkey in (3, 7, 11) and v < 1 union all select s_suppkey, s_nationkey, s_acctbal, v from supplier, range(3) t(v) where s_suppkey in (3, 7, 11) and v = 1 union all select s_suppkey, s_nationkey, case when s_suppkey = 3 then -1.0 when s_suppkey = 7 then -2.0 else s_acctbal end, v from supplier, range(3) t(v) where s_suppkey in (3, 7, 11) and v = 2")
+def v_get_after_repartition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups at the version repartitioned (0), the one before it (1) and the newest (2), each laid out by another spec."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    store = Store.create(spark, fresh_path(spark, "moved"), T.StructType.fromDDL("s_suppkey bigint, s_nationkey int, s_acctbal double"), [Group("all", ("s_suppkey",), ("s_nationkey", "s_acctbal"), KeyHash(("s_suppkey",), 8))])
+    first = store.append(rows).id
+    second = store.append(rows.filter("s_suppkey = 3").select("s_suppkey", F.lit(-1.0).alias("s_acctbal"))).id
+    store.checkpoint()
+    store.repartition("all", KeyHash(("s_suppkey",), 5))
+    third = store.append(rows.filter("s_suppkey = 7").select("s_suppkey", F.lit(-2.0).alias("s_acctbal"))).id
+    found = [store.get({"s_suppkey": k}, ref).withColumn("v", F.lit(v).cast("bigint")) for v, ref in enumerate((second, first, third)) for k in (3, 7, 11)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("select n_nationkey, case when n_regionkey = 0 then 100 when n_regionkey = 1 then 25 else 10 end::int as value, case when n_regionkey = 0 then [1, 2, 3] when n_regionkey = 1 then [1, 2] else [1] end as seen from nation")
+def v_mixed_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set 10, set 20, add 5, set 100: an expression holds for its commit only."""
+    nation = table(spark, sf_dir, "nation")
+    store = Store.create(spark, fresh_path(spark, "mixed"), T.StructType.fromDDL("n_nationkey int, value int, seen array<int>"), [Group("all", ("n_nationkey",), ("value", "seen"))])
+    put = lambda where, number, mark, **how: store.append(nation.filter(where).select("n_nationkey", F.lit(number).alias("value"), F.array(F.lit(mark)).alias("seen")), expressions=how)
+    put("true", 10, 1)
+    put("n_regionkey <= 1", 20, 2, seen="append")
+    put("n_regionkey <= 1", 5, 2, value="sum", seen="expr:array_union(old, new)")
+    put("n_regionkey = 0", 100, 3, seen="append")
+    return store.read()
+
+
+@query("select 'x' as kind, count(*) as n, sum(o_custkey)::bigint as total from orders union all select 'rejected', 1, 0")
+def v_duplicate_keys_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An append that repeats a key fails and leaves nothing; the same rows with one chosen for each key go in."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    store = Store.create(spark, fresh_path(spark, "unique"), T.StructType.fromDDL("o_orderkey bigint, o_custkey bigint"), [Group("all", ("o_orderkey",), ("o_custkey",))])
+    repeated = orders.withColumn("at", F.lit(2)).unionByName(orders.filter("o_orderkey % 10 = 1").select("o_orderkey", F.lit(-1).cast("bigint").alias("o_custkey"), F.lit(1).alias("at")))
+    rejected = 0
+    try:
+        store.append(repeated.drop("at"))
+    except ValueError:
+        rejected = 1
+    store.append(store.replace_duplicates(repeated, "at").drop("at"))
+    rows = store.read().agg(F.lit("x").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("total"))
+    return rows.union(spark.createDataFrame([("rejected", rejected, 0)], "kind string, n bigint, total bigint"))
+
+
+@query("select p_partkey, p_size, p_brand from part")
+def v_tiled_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit of tiles: two parts written from rows, two taken from files that lie elsewhere."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    spec, elsewhere = KeyHash(("p_partkey",), 4), fresh_path(spark, "elsewhere")
+    store = Store.create(spark, fresh_path(spark, "tiles"), T.StructType.fromDDL("p_partkey bigint, p_size int, p_brand string"), [Group("all", ("p_partkey",), ("p_size", "p_brand"), spec)])
+    parts = [part.filter(spec.column() == k) for k in range(4)]
+    for k in (2, 3):
+        parts[k].write.parquet(f"{elsewhere}/{k}")
+    store.append_tiled([("all", f"_part={k}", parts[k] if k < 2 else [f"{elsewhere}/{k}"]) for k in range(4)], ["p_size", "p_brand"])
+    return store.read()
+
+
+@query("select s_suppkey, s_acctbal, null::varchar as note from supplier where s_suppkey % 2 = 0 union all select s_suppkey, s_acctbal, 'odd' from supplier where s_suppkey % 2 = 1")
+def v_new_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that a store gets later is null in the rows before; the store opened again infers the schema from its configuration."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    store = Store.create(spark, fresh_path(spark, "wider"), T.StructType.fromDDL("s_suppkey bigint, s_acctbal double"), [Group("all", ("s_suppkey",), ("s_acctbal",))])
+    store.append(rows)
+    store.add_columns("all", T.StructType.fromDDL("note string"))
+    store.append(rows.filter("s_suppkey % 2 = 1").select("s_suppkey", F.lit("odd").alias("note")))
+    return Store.open(spark, store.root).read()
+
+
+@query("select 2::bigint as commits, 1::bigint as dead, true as sized, count(*) as n from customer")
+def v_squash_and_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three commits as one on a new branch, then an abandoned commit's files go and the rest stays."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    store = Store.create(spark, fresh_path(spark, "squash"), T.StructType.fromDDL("c_custkey bigint, c_acctbal double"), [Group("all", ("c_custkey",), ("c_acctbal",))])
+    root = store.append(rows.filter("c_custkey % 3 = 0")).id
+    store.append(rows.filter("c_custkey % 3 = 1"))
+    store.append(rows.filter("c_custkey % 3 = 2"))
+    store.squash("main", root, "short")
+    store.append(rows.filter("c_custkey = 1"), advance=False)
+    dead = len(store.vacuum(age_ms=-60_000))
+    return store.read(Ref("short")).agg(F.lit(len(store.log.history(Ref("short")))).cast("bigint").alias("commits"), F.lit(dead).cast("bigint").alias("dead"), F.lit(store.size(Ref("short")) > 0).alias("sized"), F.count(F.lit(1)).alias("n"))
+
+
 # Documents and names
 
 _DOCS = "select '/doc/' || doc_id as document_uri, case when doc_id % 10 = 0 then 'xx' else lang end as lang, n_chars as size from documents"
@@ -229,3 +314,18 @@ def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select("event_id", uri.cell(F.concat(F.lit('"'), "event_type", F.lit('"')))["as_string"].alias("as_string"), uri.cell(F.get_json_object("props", "$.k"))["as_int"].alias("as_int"), F.coalesce(uri.cell(F.format_string("%.2f", "value"))["as_double"], uri.cell(F.format_string("%.2f", "value"))["as_int"].cast("double")).alias("as_double"))
+
+
+@query("select n_nationkey, '(document_uri, ' || 'n__' || n_name || ', x__y)' as columns, chr(39) || replace(n_name, 'N', chr(39) || chr(39)) || chr(39) as quoted, case when n_regionkey = 0 then 'bigint' else 'string' end as kind from nation")
+def names_and_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement forms of names: column lists, quoted literals, SQL types of type names."""
+    kind = F.when(F.col("n_regionkey") == 0, F.lit("/std/int64")).otherwise(F.lit("/std/text"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", uri.update_schema(F.array(F.concat(F.lit("n/"), "n_name"), F.lit("x:y"))).alias("columns"), uri.literal_text(F.replace(F.col("n_name"), F.lit("N"), F.lit("'"))).alias("quoted"), uri.column_type(kind).alias("kind"))
+
+
+@query("select n_nationkey, '/std/' || n_name as first, 'plain' as second, '/std/a' as key, '/std/' || n_name as value from nation")
+def ns_resolve_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Namespaces in arrays and maps."""
+    name = F.concat(F.lit("std:"), "n_name")
+    names, pairs = uri.resolve_all(F.array(name, F.lit("plain"))), uri.resolve_map(F.create_map(F.lit("std:a"), name), values=True)
+    return table(spark, sf_dir, "nation").select("n_nationkey", names[0].alias("first"), names[1].alias("second"), F.map_keys(pairs)[0].alias("key"), F.map_values(pairs)[0].alias("value"))

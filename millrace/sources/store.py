@@ -27,6 +27,8 @@ from millrace.workspace import Files
 PART_BYTES = 1 << 30
 #: Bytes of files after a checkpoint up to which their keys are broadcast, so that the checkpoint's untouched rows are not shuffled.
 SMALL_BYTES = 16 << 20
+#: Rows whose texts are measured to size part files.
+WIDTH_ROWS = 1000
 #: Data younger than this is not vacuumed, as a commit may be on its way.
 VACUUM_AGE_MS = 24 * 3600 * 1000
 
@@ -128,6 +130,40 @@ class Store:
             self.files.delete(base)
             raise
 
+    def append_tiled(self, tiles: list[tuple[str, str, DataFrame | list[str]]], columns: list[str], branch: str = "main", message: str = "", advance: bool = True, check_keys: bool = True, **fields) -> Commit:
+        """A commit made of tiles (group, part, rows or paths): rows are written to their tile as they are, parquet files are taken where they
+        lie. `part` is the directory name that the group's spec gives (such as _part=3), or empty for a group without one; rows that belong
+        to another part are an error. columns: the value columns that the tiles bring."""
+        by, done, base = {g.name: g for g in self.groups}, [], f"{self.root}/objects/{uuid.uuid4().hex}"
+        try:
+            for k, (name, part, what) in enumerate(tiles):
+                g = by[name]
+                own = [*g.ids, *(c for c in g.columns if c in columns)]
+                if (g.partition is None) != (part == ""):
+                    raise ValueError(f"{name} takes {'no' if g.partition is None else 'a'} part")
+                rows = self.spark.read.schema(self._types(own)).parquet(*what) if isinstance(what, list) else what.select(*own)
+                if part:
+                    wrong = rows.filter(F.concat(F.lit("_part="), g.partition.column().cast("string")) != part)
+                    if not wrong.isEmpty():
+                        raise ValueError(f"rows of another part in {part}")
+                if isinstance(what, list):
+                    files = [{"path": p, "kind": "data", "size": n} for w in what for p, n in self.files.tree(w) if p.endswith(".parquet")]
+                else:
+                    at = f"{base}/{name}/{k}/{part}" if part else f"{base}/{name}/{k}"
+                    rows.write.parquet(at)
+                    files = [{"path": p, "kind": "data", "size": n} for p, n in self.files.tree(at) if p.endswith(".parquet")]
+                done.append({"group": name, "part": part, "files": files, "spec": spec_of(g.partition)})
+            if check_keys:
+                for g in {t["group"] for t in done}:
+                    self._check_keys([t for t in done if t["group"] == g])
+            commit = self.log.new(self.log.head_id(branch)[1], message=message, columns=[*self.ids, *columns], tiles=done, **fields)
+            if advance:
+                self.log.fast_forward(branch, commit)
+            return commit
+        except Exception:
+            self.files.delete(base)
+            raise
+
     def _check_keys(self, tiles: list[dict]) -> None:
         """Raises if the files of a commit's first group hold a key twice; only id columns are read, and counts are added up before they move."""
         if not tiles:
@@ -158,8 +194,12 @@ class Store:
         return [{"group": g.name, "part": part, "files": files, "spec": spec_of(g.partition)} for part, files in sorted(by.items())]
 
     def _rows(self, df: DataFrame, part_bytes: int) -> int:
-        """Rows that fit a part file, from the width of the schema; text counts 64 bytes, so no job is run to size parts."""
-        width = sum(64 if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 8 for f in df.schema)
+        """Rows that fit a part file: the width of texts and nested values is measured on the first WIDTH_ROWS rows, other columns count 8 bytes."""
+        wide = [F.coalesce(F.octet_length(F.col(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(f.name))), F.lit(0)) for f in df.schema if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+        width = 8 * (len(df.schema) - len(wide))
+        if wide:
+            mean = df.limit(WIDTH_ROWS).select(sum(wide, F.lit(0)).alias("w")).agg(F.avg("w")).first()[0]
+            width += int(mean or 64 * len(wide))
         return max(1, part_bytes // max(1, width))
 
     def replace_duplicates(self, df: DataFrame, newest: str) -> DataFrame:
@@ -173,8 +213,8 @@ class Store:
         typed = self.spark.range(1).select(*(F.lit(v).cast(self.schema[k].dataType).alias(k) for k, v in key.items()))
         return f"_part={typed.select(spec.column()).first()[0]}"
 
-    def _folders(self, c: Commit, g: Group, part: str | None, key: dict[str, object], known: dict) -> list[str]:
-        """The folders of a commit's group that can hold a part or key. Every tile is asked by the spec that it was written with."""
+    def _paths(self, c: Commit, g: Group, part: str | None, key: dict[str, object], known: dict) -> list[str]:
+        """The folders, and files taken from elsewhere, of a commit's group that can hold a part or key. Every tile is asked by the spec that it was written with."""
         out = set()
         for t in c.tiles:
             if t["group"] != g.name:
@@ -186,21 +226,21 @@ class Store:
                     known[spec] = self._part(spec, key)
                 want = known[spec]
             if want is None or t["part"] == want:
-                out |= {f["path"].rsplit("/", 1)[0] for f in t["files"]}
+                out |= {f["path"].rsplit("/", 1)[0] if self._own(f["path"]) else f["path"] for f in t["files"]}
         return sorted(out)
 
     def _group(self, g: Group, checkpoint: Commit | None, commits: list[Commit], columns: list[str], part: str | None = None, key: dict[str, object] | None = None) -> DataFrame:
         actions, how, deletes, known, size = [], [], False, {}, 0
         for c in [*([checkpoint] if checkpoint else []), *commits]:
-            folders = self._folders(c, g, part, key or {}, known)
-            if not folders:
+            paths = self._paths(c, g, part, key or {}, known)
+            if not paths:
                 continue
             there = columns if c is checkpoint else [x for x in columns if x in c.columns]
             names = [*g.ids, *there]
             schema = self._types(names)
             if c.deletes:
                 schema, deletes = schema.add(merge.DELETED, T.BooleanType()), True
-            rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*folders)
+            rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
             for k, v in (key or {}).items():
                 rows = rows.filter(F.col(k) == F.lit(v))
             actions.append(rows)
@@ -299,13 +339,18 @@ class Store:
         for b in self.log.branches():
             _, head = self.log.head_id(b)
             for c in self.log.lineage(self.log.commit(head)) if head != ROOT else []:
-                used |= {f["path"].split("/objects/")[1].split("/")[0] for t in [*c.tiles, *self.log.checkpoint_tiles(c.id)] for f in t["files"]}
+                used |= {self._own(f["path"]) for t in [*c.tiles, *self.log.checkpoint_tiles(c.id)] for f in t["files"]}
         old = int(time.time() * 1000) - age_ms
         dead = [n for n in self.files.names(f"{self.root}/objects") if n not in used and self.files.modified(f"{self.root}/objects/{n}") <= old]
         for n in dead:
             self.files.delete(f"{self.root}/objects/{n}")
         return dead
 
+    def _own(self, path: str) -> str | None:
+        """The folder below the store's objects that a path lies in; None for files from elsewhere."""
+        _, found, rest = path.partition(f"/{self.root.rsplit('/', 1)[-1]}/objects/")
+        return rest.split("/")[0] if found else None
+
     def history(self, ref: object = Ref(), n: int | None = None) -> DataFrame:
         """The log as rows, newest first by `age`."""
         rows = [(k, c.id, c.parent, c.timestamp, c.message, c.committer, c.columns, sum(f["size"] for t in c.tiles for f in t["files"]), self.log.has_checkpoint(c.id)) for k, c in enumerate(self.log.history(ref, n))]

@@ -109,3 +109,88 @@ def test_agents(spark):
 def test_generators(spark):
     assert generators.random_rows(spark, 7, 2, 12).count() == 7
     assert all(len(r["c0"]) == 12 for r in generators.random_rows(spark, 7, 2, 12).collect())
+
+
+def test_robots_files(spark):
+    """Groups, wildcards, ends, quotes in patterns, comments, several agents; a host without a file lets all be fetched."""
+    from millrace.operators import crawl
+
+    body = "User-agent: a\nUser-agent: bot # us\nDisallow: /x*y\nAllow: /x1y$\nDisallow: /q\\E.\nCrawl-delay: 1\n\nUser-agent: *\nDisallow: /\n"
+    robots = spark.createDataFrame([("h", body), ("o", "User-agent: *\r\nDisallow: /p\r\nUser-agent: other\r\nDisallow: /\r\n"), ("n", None)], "host string, body string")
+    rules = crawl.robots_rules(robots, "SuperBot/2")
+    assert {(r["host"], r["prefix"], r["allow"], r["delay"]) for r in rules.collect()} == {("h", "/x*y", False, 1.0), ("h", "/x1y$", True, 1.0), ("h", "/q\\E.", False, 1.0), ("o", "/p", False, None)}
+    paths = spark.createDataFrame([("h", p) for p in ("/x1y", "/x1yz", "/xaay", "/x", "/q\\E.a", "/qE", "/z")] + [("o", "/p/q"), ("o", "/q"), ("n", "/p"), ("gone", "/p")], "host string, path string")
+    assert {(r["host"], r["path"]) for r in crawl.allowed(paths, rules).collect() if not r["allowed"]} == {("h", "/x1yz"), ("h", "/xaay"), ("h", "/q\\E.a"), ("o", "/p/q")}
+    assert {r["prefix"] for r in crawl.robots_rules(robots, "someone").filter("host = 'h'").collect()} == {"/"}
+
+
+def test_crawl_has_no_hidden_end(spark):
+    """A chain of links is followed to its end; a bound on rounds fails where it leaves urls."""
+    import pytest
+
+    from millrace.operators import crawl
+
+    web = spark.createDataFrame([(f"u{k}", f"u{k + 1}") for k in range(6)] + [("u6", None)], "url string, next string")
+    seeds = spark.createDataFrame([("u0",)], "url string")
+    fetch = lambda wanted: wanted.join(web, "url")
+    assert {(r["url"], r["round"]) for r in crawl.crawl(seeds, fetch).collect()} == {(f"u{k}", k) for k in range(7)}
+    with pytest.raises(RuntimeError):
+        crawl.crawl(seeds, fetch, rounds=3)
+
+
+def test_agents_not_found(spark):
+    import pytest
+
+    from millrace.operators import agents
+
+    rows = spark.createDataFrame([("a", "stopped"), ("b", "running")], "agent_id string, status string")
+    assert agents.one(rows, "agent_id", "b").collect() == [("b", "running")]
+    with pytest.raises(Exception, match="not found: z"):
+        agents.one(rows, "agent_id", "z").collect()
+    with pytest.raises(Exception, match="not found: z"):
+        agents.without(rows, "agent_id", spark.createDataFrame([("z",)], "agent_id string")).collect()
+    channels = spark.createDataFrame([("c", "a", "chat")], agents.CHANNELS)
+    with pytest.raises(Exception, match="not found: z"):
+        agents.open_channels(channels, spark.createDataFrame([("d", "z", "chat")], agents.CHANNELS), rows).collect()
+    with pytest.raises(Exception, match="exists"):
+        agents.open_channels(channels, channels, rows).collect()
+
+
+def test_asof_buckets_are_whole_lines(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators.asof import asof_join
+
+    left = spark.createDataFrame([(k, k % 2, 3 * k) for k in range(40)] + [(99, None, 50)], "id int, k int, t int")
+    right = spark.createDataFrame([(k % 2, 7 * k, k) for k in range(12)] + [(None, 20, 77)], "k int, t int, v int")
+    want = sorted(asof_join(left, right, ["k"], "t", "t").collect(), key=repr)
+    assert sorted(asof_join(left, right, ["k"], "t", "t", bucket=F.floor(F.col("_t") / 10)).collect(), key=repr) == want
+
+
+def test_tiles_of_another_part_fail(spark):
+    import pytest
+    from pyspark.sql import types as T
+
+    from millrace.operators.partition import KeyHash
+    from millrace.sources.store import Group, Store
+    from millrace.workspace import fresh_path
+
+    spec = KeyHash(("id",), 2)
+    store = Store.create(spark, fresh_path(spark, "tiles"), T.StructType.fromDDL("id bigint, v int"), [Group("g", ("id",), ("v",), spec)])
+    rows = spark.range(10).select("id", spec.column().alias("p"), F_lit_one())
+    zero = rows.filter("p = 0").drop("p")
+    with pytest.raises(ValueError, match="another part"):
+        store.append_tiled([("g", "_part=1", zero)], ["v"])
+    with pytest.raises(ValueError):
+        store.append_tiled([("g", "", zero)], ["v"])
+    with pytest.raises(ValueError, match="times"):
+        store.append_tiled([("g", "_part=0", zero), ("g", "_part=0", zero)], ["v"])
+    assert store.files.names(f"{store.root}/objects") == []
+    store.append_tiled([("g", "_part=0", zero)], ["v"])
+    assert store.read().count() == zero.count()
+
+
+def F_lit_one():
+    from pyspark.sql import functions as F
+
+    return F.lit(1).alias("v")
