@@ -32,7 +32,7 @@ def answer_json(text: Column, schema: str) -> Column:
     return F.from_json(answer(text), schema)
 
 
-def token_windows(tokens: Column, size: int, stride: int = 32, pad: str = "<pad>") -> Column:
+def token_windows(tokens: Column, size: int, stride: int = 32, pad: str | int = "<pad>") -> Column:
     """Windows of `size` tokens every `stride`, padded; those with fewer than two tokens are left out."""
     starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     cut = F.transform(starts, lambda i: F.slice(tokens, i + 1, size))

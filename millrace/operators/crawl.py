@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.ship import ship
-from millrace.workspace import fresh_path
+from millrace.workspace import Files, fresh_path
 
 LINK = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"']([^\"']*)[\"']"
 SCHEME = "^[a-z][a-z0-9+\\-.]*:"
@@ -178,16 +178,23 @@ def new_links(found: DataFrame, visited: DataFrame, key: str = "url") -> DataFra
     return found.select(key).distinct().join(visited.select(key), key, "left_anti")
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], budget: int | None = None, rounds: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, order: list[Column] | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], budget: int | None = None, rounds: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, order: list[Column] | None = None, root: str | None = None) -> DataFrame:
     """(url, round) of everything fetched, breadth first from seeds (url), until nothing new is found. fetch: (url) to (url, next), a row for each
     link, null for none.
 
     Every round is written to the shared folder, which cuts lineage; the driver holds only counts. Filtered URLs use no budget. A budget takes
-    the first of a round by `order` (url). rounds: a bound on depth that the caller wants; with urls left beyond it the crawl fails."""
+    the first of a round by `order` (url). root: a folder for the rounds; a crawl that finds finished rounds there goes on after them. rounds: a bound on depth that the caller wants; with urls left beyond it the crawl fails."""
     spark = seeds.sparkSession
-    root, fetched, left, k = fresh_path(spark, "crawl"), 0, budget, 0
-    frontier = seeds.select("url").distinct()
-    while True:
+    root, left, k, files = root or fresh_path(spark, "crawl"), budget, 0, Files(spark)
+    frontier, kind = seeds.select("url").distinct(), "url string, next string, round int"
+    every = lambda: spark.read.option("recursiveFileLookup", "true").schema(kind).parquet(root)
+    while files.exists(f"{root}/round={k:06d}/data/_SUCCESS"):
+        k += 1
+    if k:
+        files.delete(f"{root}/round={k:06d}")  # a round that broke off
+        left = None if left is None else max(0, left - every().select("url").distinct().count())
+        frontier = new_links(spark.read.schema(kind).parquet(f"{root}/round={k - 1:06d}/data").filter("next is not null").select(F.col("next").alias("url")), every().select("url").distinct())
+    while left != 0:
         if keep is not None:
             frontier = keep(frontier)
         if left is not None:
@@ -197,19 +204,15 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], budget: int
                 raise RuntimeError(f"urls are left after {rounds} rounds")
             break
         got = fetch(frontier)
-        got.withColumn("round", F.lit(k)).write.parquet(f"{root}/round={k:06d}/data")
+        got.select("url", "next", F.lit(k).alias("round")).write.parquet(f"{root}/round={k:06d}/data")
         now = spark.read.parquet(f"{root}/round={k:06d}/data")
         n = now.select("url").distinct().count()
         k += 1
         if not n:
             break
-        fetched += n
         left = None if left is None else left - n
-        if left == 0:
-            break
-        seen = spark.read.option("recursiveFileLookup", "true").schema(now.schema).parquet(root).select("url")
-        frontier = new_links(now.filter("next is not null").select(F.col("next").alias("url")), seen.distinct())
-    return spark.read.option("recursiveFileLookup", "true").schema("url string, next string, round int").parquet(root).groupBy("url").agg(F.min("round").alias("round"))
+        frontier = new_links(now.filter("next is not null").select(F.col("next").alias("url")), every().select("url").distinct())
+    return every().groupBy("url").agg(F.min("round").alias("round"))
 
 
 def report(captures: DataFrame, *by: str) -> DataFrame:

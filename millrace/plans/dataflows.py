@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import inference, metrics, text
+from millrace.functions import bpe, inference, metrics, text
 from millrace.operators import agents, asof, crawl
 from millrace.plans.registry import query, table
 from millrace.ship import ship
@@ -262,6 +262,16 @@ def label_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", pick.alias("prompt"), F.lit(text.describe_json(schema)).alias("fields"))
 
 
+@query()
+def bpe_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 32 token ids every 16, padded with 0, of every turn; the tokenizer's file is a parameter of token_ids()."""
+    import public_tokenizers
+
+    ids = bpe.token_ids(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", ids.alias("ids"))
+    return rows.select("conv_id", "turn", F.size("ids").alias("n_tokens"), F.posexplode(text.token_windows(F.col("ids"), 32, 16, 0)).alias("window", "tokens"))
+
+
 @query("select conv_id, turn, w[1:-2] as inputs, w[2:] as labels from (select conv_id, turn, string_split(text, ' ')[1:8] as w from conversations) t where len(w) >= 2")
 def token_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 8).alias("w")).filter(F.size("w") >= 2)

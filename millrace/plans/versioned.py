@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import uri
+from millrace.functions.inference import zorder
 from millrace.operators.merge import fold, fold_by_joins
 from millrace.operators.partition import KeyHash, Window
 from millrace.plans.registry import query, table
@@ -264,6 +265,28 @@ def v_squash_and_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(Ref("short")).agg(F.lit(len(store.log.history(Ref("short")))).cast("bigint").alias("commits"), F.lit(dead).cast("bigint").alias("dead"), F.lit(store.size(Ref("short")) > 0).alias("sized"), F.count(F.lit(1)).alias("n"))
 
 
+@query("select c_custkey, case when c_custkey % 5 = 0 then 'BRANCHED' when c_custkey % 3 = 0 then 'LATER' else c_mktsegment end as segment from customer")
+def v_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A branch put on top of what main got meanwhile."""
+    store = _segments(spark, sf_dir)
+    store.append(store.read(columns=["c_custkey"]).filter("c_custkey % 3 = 0").withColumn("segment", F.lit("LATER")))
+    store.rebase("trial")
+    return store.read(Ref("trial"))
+
+
+@query("select 3::bigint as checkpoints, 1::bigint as after, count(*) as n, sum(c_custkey)::bigint as total from customer")
+def v_checkpoint_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven commits with a checkpoint after every two, each sorted by a z-order."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("c_nationkey"))
+    store = Store.create(spark, fresh_path(spark, "often"), T.StructType.fromDDL("c_custkey bigint, c_nationkey int"), [Group("all", ("c_custkey",), ("c_nationkey",), KeyHash(("c_custkey",), 2))])
+    for k in range(7):
+        store.append(rows.filter(F.col("c_custkey") % 7 == k), checkpoint_every=2)
+    made = sum(store.log.has_checkpoint(c.id) for c in store.log.history())
+    after = len(store.log.view(Ref())[1])
+    store.checkpoint(order=[zorder(F.col("c_custkey"), F.col("c_nationkey"))])
+    return store.read().agg(F.lit(made).cast("bigint").alias("checkpoints"), F.lit(after).cast("bigint").alias("after"), F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("total"))
+
+
 # Documents and names
 
 _DOCS = "select '/doc/' || doc_id as document_uri, case when doc_id % 10 = 0 then 'xx' else lang end as lang, n_chars as size from documents"
@@ -285,6 +308,18 @@ def doc_put_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_uri", F.col("__std__lang").alias("lang"), F.col("__std__size").alias("size"))
 
 
+@query("select n_nationkey, n_name, 'v2' as version from nation")
+def doc_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a dataset registered; the newer is read by name."""
+    catalog, path = Catalog(spark, fresh_path(spark, "datasets")), fresh_path(spark, "nations")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    for v, rows in (("v1", nation.limit(1)), ("v2", nation)):
+        rows.write.parquet(f"{path}/{v}")
+        catalog.register_dataset("nations", f"{path}/{v}", v, about={"owner": "tests"})
+    newest = catalog.datasets().filter("name = 'nations'").agg(F.max("version").alias("version"))
+    return catalog.dataset("nations").crossJoin(F.broadcast(newest))
+
+
 @query(f"select document_uri, lang from ({_DOCS}) t where document_uri in (select '/doc/' || doc_id from labels)")
 def doc_get_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "labels").select(F.concat(F.lit("/doc/"), "doc_id").alias("document_uri"))

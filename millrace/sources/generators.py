@@ -88,3 +88,16 @@ def read_file(spark: SparkSession, kind: str, path: str, schema: str | None = No
 
 def write_file(df: DataFrame, kind: str, path: str, part_rows: int = 0, mode: str = "errorifexists", **options) -> None:
     df.write.options(maxRecordsPerFile=part_rows, **options).format(kind).mode(mode).save(path)
+
+
+def labelled_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, label (the file's folder), length and content of every file below a folder, such as images sorted by label."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return rows.select("path", F.regexp_extract("path", "([^/]+)/[^/]*$", 1).alias("label"), "length", "content")
+
+
+def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
+    """title, ns, text of the pages of a wiki's XML dump, redirects left out."""
+    schema = "title string, ns int, redirect struct<_title: string>, revision struct<text: string>"
+    rows = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
+    return rows.filter("redirect is null").select("title", "ns", F.col("revision.text").alias("text"))

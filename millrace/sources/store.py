@@ -12,10 +12,10 @@ import re
 import tarfile
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +25,11 @@ from millrace.sources.log import ROOT, Commit, Log, LogError, Ref
 from millrace.workspace import Files
 
 PART_BYTES = 1 << 30
+_ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 #: Bytes of files after a checkpoint up to which their keys are broadcast, so that the checkpoint's untouched rows are not shuffled.
 SMALL_BYTES = 16 << 20
-#: Rows whose texts are measured to size part files.
-WIDTH_ROWS = 1000
+#: Bytes that a text counts for the most rows of a file.
+WIDTH = 64
 #: Data younger than this is not vacuumed, as a commit may be on its way.
 VACUUM_AGE_MS = 24 * 3600 * 1000
 
@@ -94,10 +95,11 @@ class Store:
 
     # Writing
 
-    def append(self, df: DataFrame, branch: str = "main", message: str = "", committer: str = "", application: str = "", timestamp: int | None = None, expressions: dict[str, str] | None = None, advance: bool = True, part_bytes: int = PART_BYTES, parent: str | None = None, check_keys: bool = True) -> Commit:
+    def append(self, df: DataFrame, branch: str = "main", message: str = "", committer: str = "", application: str = "", timestamp: int | None = None, expressions: dict[str, str] | None = None, advance: bool = True, part_bytes: int = PART_BYTES, parent: str | None = None, check_keys: bool = True, checkpoint_every: int | None = None) -> Commit:
         """Writes rows as a new commit and moves the branch to it. Keys must be there and come once (`check_keys` reads the written keys again to
         see to it); null values change nothing. Columns with an entry in `expressions` merge with what was there in this commit.
 
+        checkpoint_every: once so many commits have come after the newest checkpoint, the new head gets one, so that reads stay short.
         A boolean column `_deleted` marks keys to delete. If the write, the check or the move fails, the written files are removed."""
         ids = self.ids
         unknown = set(df.columns) - set(self.schema.names) - {merge.DELETED}
@@ -125,10 +127,12 @@ class Store:
             commit = self.log.new(parent, message=message, committer=committer, application=application, columns=[c for c in df.columns if c != merge.DELETED], expressions=expressions or {}, tiles=tiles, deletes=deletes, **fields)
             if advance:
                 self.log.fast_forward(branch, commit)
-            return commit
         except Exception:
             self.files.delete(base)
             raise
+        if advance and checkpoint_every and len(self.log.view(commit)[1]) >= checkpoint_every:
+            self.checkpoint(commit)
+        return commit
 
     def append_tiled(self, tiles: list[tuple[str, str, DataFrame | list[str]]], columns: list[str], branch: str = "main", message: str = "", advance: bool = True, check_keys: bool = True, **fields) -> Commit:
         """A commit made of tiles (group, part, rows or paths): rows are written to their tile as they are, parquet files are taken where they
@@ -173,7 +177,7 @@ class Store:
         if row := again.first():
             raise ValueError(f"key {tuple(row)[:-1]} comes {row['count']} times in one append")
 
-    def _write(self, df: DataFrame, g: Group, path: str, part_bytes: int) -> list[dict]:
+    def _write(self, df: DataFrame, g: Group, path: str, part_bytes: int, order: list[Column] | None = None) -> list[dict]:
         checked = df
         for c in g.ids:
             checked = checked.filter(F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} is null")).cast("boolean")).otherwise(True))
@@ -182,10 +186,19 @@ class Store:
             keys = g.partition.keys if isinstance(g.partition, KeyHash) else (g.partition.key,)
             if not set(keys) <= set(df.columns):
                 raise ValueError(f"{g.name} is partitioned by columns that these rows lack")
-            # A rebalance, not a repartition: adaptive execution cuts a large part among several tasks and joins small ones.
-            writer_df = checked.withColumn("_part", g.partition.column()).hint("rebalance", "_part")
+            writer_df = checked.withColumn("_part", g.partition.column())
+        # A rebalance, not a repartition: adaptive execution measures what was shuffled, cuts a large part among several tasks and joins small ones,
+        # so that a task writes about part_bytes.
+        writer_df = writer_df.hint("rebalance", *(["_part"] if g.partition is not None else []))
+        if order:
+            writer_df = writer_df.sortWithinPartitions(*(["_part"] if g.partition is not None else []), *order)
         writer = writer_df.write.option("maxRecordsPerFile", self._rows(df, part_bytes))
-        (writer.partitionBy("_part") if g.partition is not None else writer).parquet(path)
+        before = self.spark.conf.get(_ADVISED)
+        self.spark.conf.set(_ADVISED, str(part_bytes))
+        try:
+            (writer.partitionBy("_part") if g.partition is not None else writer).parquet(path)
+        finally:
+            self.spark.conf.set(_ADVISED, before)
         by: dict[str, list[dict]] = {}
         for p, size in self.files.tree(path):
             if p.endswith(".parquet"):
@@ -194,12 +207,8 @@ class Store:
         return [{"group": g.name, "part": part, "files": files, "spec": spec_of(g.partition)} for part, files in sorted(by.items())]
 
     def _rows(self, df: DataFrame, part_bytes: int) -> int:
-        """Rows that fit a part file: the width of texts and nested values is measured on the first WIDTH_ROWS rows, other columns count 8 bytes."""
-        wide = [F.coalesce(F.octet_length(F.col(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(f.name))), F.lit(0)) for f in df.schema if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
-        width = 8 * (len(df.schema) - len(wide))
-        if wide:
-            mean = df.limit(WIDTH_ROWS).select(sum(wide, F.lit(0)).alias("w")).agg(F.avg("w")).first()[0]
-            width += int(mean or 64 * len(wide))
+        """Rows that fit a part file if texts are WIDTH bytes wide: an upper bound for narrow rows beside the measured sizes of _write()."""
+        width = sum(WIDTH if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) else 8 for f in df.schema)
         return max(1, part_bytes // max(1, width))
 
     def replace_duplicates(self, df: DataFrame, newest: str) -> DataFrame:
@@ -278,15 +287,16 @@ class Store:
     def branch(self, name: str, at: object = Ref()) -> None:
         self.log.branch(name, at)
 
-    def checkpoint(self, ref: object = Ref(), replace: bool = False, groups: list[Group] | None = None) -> None:
-        """Writes the folded version, partitioned as its groups are, so that reads start there. replace: a newer one may take the place of one."""
+    def checkpoint(self, ref: object = Ref(), replace: bool = False, groups: list[Group] | None = None, order: list[Column] | None = None) -> None:
+        """Writes the folded version, partitioned as its groups are, so that reads start there. replace: a newer one may take the place of one.
+        order: expressions by which rows are sorted in their files, such as a z-order of some columns, so that filters on them skip row groups."""
         commit = self.log.resolve(ref)
         before, commits = self.log.view(commit)
         if self.log.has_checkpoint(commit.id) and not replace:
             raise LogError(f"commit {commit.id[:8]} has a checkpoint")
         tiles = []
         for g in groups or self.groups:
-            tiles += self._write(self._group(g, before, commits, list(g.columns)), g, f"{self.root}/objects/checkpoint-{uuid.uuid4().hex}/{g.name}", PART_BYTES)
+            tiles += self._write(self._group(g, before, commits, list(g.columns)), g, f"{self.root}/objects/checkpoint-{uuid.uuid4().hex}/{g.name}", PART_BYTES, order)
         self.log.put_checkpoint(commit.id, tiles, replace)
 
     def repartition(self, group: str, partition: KeyHash | Window | None, ref: object = Ref()) -> Store:
@@ -333,6 +343,36 @@ class Store:
         self.log.branch(name, onto)
         return self.append(self.read(Ref(branch)), branch=name, message=message)
 
+    def rebase(self, branch: str, onto: object = Ref()) -> list[Commit]:
+        """Puts what a branch has beyond its common ancestor with `onto` on top of that; files are shared, and commits that fall away go with
+        vacuum(). A branch that moves meanwhile makes this fail."""
+        seq, head = self.log.head_id(branch)
+        base = self.log.resolve(onto)
+        known = {c.id for c in self.log.lineage(base)}
+        own = []
+        for c in self.log.lineage(self.log.commit(head)):
+            if c.id in known:
+                break
+            own.append(c)
+        parent, made = base.id, []
+        for c in reversed(own):
+            made.append(self.log.new(parent, **{k: v for k, v in asdict(c).items() if k not in ("id", "parent")}))
+            parent = made[-1].id
+        self.log.move(branch, parent, seq)
+        return made
+
+    def inferred_schema(self) -> T.StructType:
+        """The schema that the newest files show, for a store whose configuration is doubted: ids first, then each group's columns."""
+        checkpoint, commits = self.log.view(Ref())
+        found: dict[str, T.StructField] = {}
+        for c in [*reversed(commits), *([checkpoint] if checkpoint else [])]:
+            for g in {t["group"] for t in c.tiles}:
+                first = next((f["path"] for t in c.tiles if t["group"] == g for f in t["files"] if f["kind"] == "data"), None)
+                for field in self.spark.read.parquet(first).schema if first else []:
+                    if field.name not in ("_part", merge.DELETED):
+                        found.setdefault(field.name, field)
+        return T.StructType([*(found.pop(c) for c in self.ids if c in found), *found.values()])
+
     def vacuum(self, age_ms: int = VACUUM_AGE_MS) -> list[str]:
         """Deletes data that no commit or checkpoint reachable from a branch names and that is older than age_ms; returns the folders."""
         used = set()

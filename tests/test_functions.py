@@ -194,3 +194,87 @@ def F_lit_one():
     from pyspark.sql import functions as F
 
     return F.lit(1).alias("v")
+
+
+def test_bpe_ids_are_the_library_s(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.functions.bpe import token_ids
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  world", "", None, "naïve café\n", "x" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r["k"]: r["ids"] for r in df.select("k", token_ids(F.col("t"), path).alias("ids")).collect()}
+    tok = Tokenizer.from_file(path)
+    assert got == {k: None if t is None else tok.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
+def test_labelled_files_and_wiki_dumps(spark, tmp_path):
+    from millrace.sources.generators import labelled_files, wiki_pages
+
+    for label, name in (("cat", "a.png"), ("dog", "b.png"), ("dog", "c.txt")):
+        (tmp_path / "files" / label).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "files" / label / name).write_bytes(name.encode())
+    got = labelled_files(spark, str(tmp_path / "files"), "*.png").collect()
+    assert sorted((r["label"], r["length"], bytes(r["content"])) for r in got) == [("cat", 5, b"a.png"), ("dog", 5, b"b.png")]
+    (tmp_path / "dump.xml").write_text("<mediawiki><page><title>A</title><ns>0</ns><revision><text>one &amp; two</text></revision></page><page><title>B</title><ns>0</ns><redirect title='A'/><revision><text>#R</text></revision></page></mediawiki>")
+    assert [tuple(r) for r in wiki_pages(spark, str(tmp_path / "dump.xml")).collect()] == [("A", 0, "one & two")]
+
+
+def test_crawl_goes_on_where_it_broke_off(spark):
+    """Finished rounds stay, the broken one is done again, the budget counts what was fetched before."""
+    import pytest
+
+    from millrace.operators import crawl
+    from millrace.workspace import fresh_path
+
+    web = spark.createDataFrame([(f"u{k}", f"u{k + 1}") for k in range(8)] + [("u8", None)], "url string, next string")
+    seeds, root, calls = spark.createDataFrame([("u0",)], "url string"), fresh_path(spark, "rounds"), []
+
+    def fetch(wanted):
+        calls.append(1)
+        if len(calls) == 4:
+            raise OSError("lost")
+        return wanted.join(web, "url")
+
+    with pytest.raises(OSError):
+        crawl.crawl(seeds, fetch, root=root)
+    assert {(r["url"], r["round"]) for r in crawl.crawl(seeds, fetch, budget=6, root=root).collect()} == {(f"u{k}", k) for k in range(6)}
+    assert {r["url"] for r in crawl.crawl(seeds, fetch, root=root).collect()} == {f"u{k}" for k in range(9)}
+
+
+def test_catalog_files_and_datasets(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from millrace.sources.documents import Catalog
+    from millrace.workspace import fresh_path
+
+    catalog = Catalog(spark, fresh_path(spark, "catalog"))
+    items = [{"kind": "universe", "uri": "/u"}, {"kind": "table", "uri": "/t", "universe": "/u", "columns": {"/a": "/std/text", "/b": "/std/double"}}]
+    (tmp_path / "spec.json").write_text("\n".join(map(json.dumps, items)))
+    catalog.deploy_file(f"file://{tmp_path}/spec.json")
+    assert {r["uri"] for r in catalog.list("column").collect()} == {"/a", "/b"}
+    assert catalog.table("/t", "/u").schema.names == ["document_uri", "__a", "__b"]
+    spark.range(3).write.parquet(f"{tmp_path}/d1")
+    catalog.register_dataset("d", f"{tmp_path}/d1", "1", about={"rows": 3})
+    assert catalog.dataset("d").count() == 3 and [r["about"] for r in catalog.datasets().collect()] == ['{"rows": 3}']
+    for wrong in (lambda: catalog.dataset("e"), lambda: catalog.dataset("d", "2"), lambda: catalog.register_dataset("d", "x", "1")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_schema_from_files(spark):
+    from pyspark.sql import types as T
+
+    from millrace.sources.store import Group, Store
+    from millrace.workspace import fresh_path
+
+    schema = T.StructType.fromDDL("id bigint, a string, b double")
+    store = Store.create(spark, fresh_path(spark, "s"), schema, [Group("x", ("id",), ("a",)), Group("y", ("id",), ("b",))])
+    store.append(spark.createDataFrame([(1, "q", 2.0)], schema))
+    assert sorted((f.name, f.dataType) for f in store.inferred_schema()) == sorted((f.name, f.dataType) for f in schema)
+    assert store.inferred_schema().names[0] == "id"
