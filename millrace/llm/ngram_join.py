@@ -21,6 +21,7 @@ empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -194,9 +195,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
     Documents without an id stay unless their component has an id; rows that share a component's smallest id with other texts stay."""
     found = staged(similar(df, id_col, text_col, n, percent), "similar")
-    out = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__t")).distinct()
+    gone, hashed = (f"_{uuid.uuid4().hex}" for _ in range(2))  # names that no column of df has
+    out = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(gone), F.col("text_hash").alias(hashed)).distinct()
     out = if_small(staged(out, "out"))
-    same = (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__t"))
+    same = F.col(id_col).eqNullSafe(F.col(gone)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(hashed))
     left = df.join(out, same, "left_anti")
     again = found.filter(F.col(id_col).isNotNull()).groupBy(id_col, "text_hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     return left if again.isEmpty() else left.dropDuplicates([id_col, text_col])

@@ -1,6 +1,7 @@
 """The registered queries: SQL twins where there are any, and the contract's columns for all."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -55,3 +56,37 @@ def test_pipeline_stages(spark):
     pieces = corpus_pipeline.run(spark, DATA).collect()
     assert {r["doc_id"] for r in pieces} <= known
     assert all(r["offset"] + r["length"] <= 4096 for r in pieces)
+
+
+def test_pipeline_cases(spark, docs, corpus, empty):
+    """Nulls in every column, repeated rows, clashing and odd column names, an empty table: columns stay, rows go for reasons only."""
+    odd = docs.withColumnRenamed("one", "my col").withColumnRenamed("s", "a.b")
+    found = odd
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = corpus_pipeline.staged(stage(spark, found, DATA), name)
+        assert after.columns == odd.columns and after.schema["n_chars"].dataType == odd.schema["n_chars"].dataType
+        n, before = after.count(), found.count()
+        if name == "language_id":
+            texts = {r["text"] for r in after.collect()}
+            assert None not in texts and not {"", " \n\t"} & texts and n >= before - 6, "only texts without letters, or unlike all others"
+        elif name == "ngram_jaccard":
+            kept = Counter(r["doc_id"] for r in after.collect())
+            assert kept[43] == kept[40] == 0 and kept[3] == 1, "copies go, the smallest id stays"
+        elif name == "suffix_dedup":
+            assert n == before and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in after.collect())
+        found = after
+    pieces = corpus_pipeline.packed_sequences(spark, found, DATA).collect()
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in found.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0, name
+
+
+def test_pipeline_leaves_only_what_is_read(spark, monkeypatch):
+    """What stages wrote on their way is deleted; the result is read after that."""
+    from millrace.llm import common
+
+    before = len(common._written)
+    pieces = corpus_pipeline.run(spark, DATA)
+    files = common.Files(spark)
+    assert all(files.exists(path) for _, path in common._written[before:])
+    assert len(common._written) - before <= 8 and pieces.count() > 0
