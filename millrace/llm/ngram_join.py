@@ -6,7 +6,9 @@
    each. The first order puts a fixed fifth of the hash space first, by document frequency there. An element of one class only can join
    nothing, so a class with enough such elements at the front is out at once; what stays are near copies. Frequencies come from one
    aggregation, and elements found in one class never travel further. Pairs meet under this order by element and band of lengths.
-3. The other orders sort by the hash, and by the hash hashed again: unlike document frequency and each other. Candidates must pass the prefix
+3. In a group of texts that were made from one, most pairs share prefixes under any order and yet have too little in common, and such pairs grow
+   as the square of the group. Each set's parities, a few bits for each of its elements, show how many elements two sets surely do not share.
+4. The other orders sort by the hash, and by the hash hashed again: unlike document frequency and each other. Candidates must pass the prefix
    filter under every one of them, which bounds what two sets can share by what both prefixes show; only pairs that pass all have
    their whole sets intersected. Links between classes, class sizes and components by alternating large and small stars give the result.
 
@@ -136,6 +138,26 @@ def may_be_similar(x: Column, y: Column, n: Column, n2: Column, percent: int) ->
     return F.arrays_overlap(x, y) & ((100 + percent) * most >= percent * (n + n2))
 
 
+def parities(s: Column, n: Column) -> Column:
+    """64-bit words of a sorted set s of n hashes, between two and four bits for each element (two words at least). A hash's high bits name
+    its word, its low bits the bit that it turns over, so s is read once and neighbouring words of a longer row xor to those of a shorter one."""
+    level = F.length(F.bin(F.floor((n - 1) / 32).cast("bigint")))
+    words = F.call_function("shiftleft", F.lit(1), level)
+    place = lambda e: (F.call_function("shiftright", e, 64 - level) + words / 2).cast("int")
+    bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("bigint"), e.bitwiseAND(F.lit(63)).cast("int"))
+    zeros = lambda many: F.array_repeat(F.lit(0).cast("bigint"), many)
+    state = lambda done, at, word: F.struct(done.alias("done"), at.alias("at"), word.alias("word"))
+    step = lambda a, e: F.when(place(e) == a["at"], state(a["done"], a["at"], a["word"].bitwiseXOR(bit(e)))).otherwise(state(F.concat(a["done"], F.array(a["word"]), zeros(place(e) - a["at"] - 1)), place(e), bit(e)))
+    return F.aggregate(s, state(zeros(F.lit(0)), F.lit(0), F.lit(0).cast("bigint")), step, lambda a: F.concat(a["done"], F.array(a["word"]), zeros(words - a["at"] - 1)))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Bits in which two rows of parities differ, the longer one folded to the shorter; the sets have at least as many elements that they do not share."""
+    to, xor = F.least(F.size(x), F.size(y)), lambda a, b: a.bitwiseXOR(b)
+    fold = lambda v: F.when(F.size(v) == to, v).otherwise(F.transform(F.sequence(F.lit(0), to - 1), lambda i: F.aggregate(F.slice(v, (i * (F.size(v) / to) + 1).cast("int"), (F.size(v) / to).cast("int")), F.lit(0).cast("bigint"), xor)))
+    return F.aggregate(F.zip_with(fold(x), fold(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+
+
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """One row for each row of df: id_col, text_hash, n_shingles, class (bigint; null for empty sets), n_similar, component_id."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -158,20 +180,30 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     picked = if_small(members.select(F.col("t").alias("mt"), F.col("id").alias("mid")))
     found = docs.withColumn("t", F.xxhash64("text")).join(picked, (F.col("t") == F.col("mt")) & F.col("id").eqNullSafe(F.col("mid")), "left_semi").select("text")
     whole = _sets(found, n).groupBy("k").agg(F.first("s").alias("s"))
-    whole = staged(whole.select("k", "s", F.size("s").alias("n"), *signs(F.col("s"), F.size("s"), orders, percent)), "whole")
-    links = staged(_links(_filtered(pairs, whole, orders, percent), whole, percent), "links")
+    whole = staged(whole.select("k", "s", F.size("s").alias("n"), parities(F.col("s"), F.size("s")).alias("parities"), *signs(F.col("s"), F.size("s"), orders, percent)), "whole")
+    near = staged(_near(pairs, whole, percent), "near")
+    links = staged(_links(_filtered(near, whole, orders, percent), whole, percent), "links")
     sides = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = sides.join(members.select(F.col("k").alias("v"), "m"), "v").groupBy(F.col("u").alias("k")).agg(F.sum("m").alias("others"))
+    others = sides.join(members.select(F.col("k").alias("v"), "m"), "v").groupBy(F.col("u").alias("k")).agg(F.sum("m").alias("others"))
     roots = components(links)
     roots = roots.union(roots.select(F.col("root").alias("u"), "root")).distinct()
     least = roots.join(members.select(F.col("k").alias("u"), "id"), "u").groupBy("root").agg(F.min("id").alias("least"))
     placed = roots.join(least, "root").select(F.col("u").alias("k"), "least")
-    known = classes.filter("m > 1").select("k", "id", "m").union(members.filter("m = 1").select("k", "id", "m")).join(near, "k", "left").join(placed, "k", "left")
+    known = classes.filter("m > 1").select("k", "id", "m").union(members.filter("m = 1").select("k", "id", "m")).join(others, "k", "left").join(placed, "k", "left")
     known = if_small(staged(known.select(F.col("k").alias("ck"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("similar"), F.coalesce("least", "id").alias("least")), "known"))
     out = base.select("id", "t", "k", "n").join(known, (F.col("k") == F.col("ck")) & (F.col("n") > 0), "left")
     return out.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("n") > 0, F.col("k")).alias("class"), F.coalesce("similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("least", "id").alias("component_id"))
 
 
+def _near(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parities leave it open that they are similar; only parities are moved for it, a small part of a prefix."""
+    one = whole.select("k", "n", "parities")
+    two = whole.select(F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("parities").alias("parities2"))
+    both = F.col("n").cast("bigint") + F.col("n2")  # what is not shared is in one set only, what is shared is in both
+    fits = (100 + percent) * (both - _apart(F.col("parities"), F.col("parities2"))) >= 2 * percent * both
+    return pairs.join(one, "k").join(two, "k2").filter(fits).select("k", "k2")
+
+
 def _filtered(pairs: DataFrame, whole: DataFrame, orders: int, percent: int) -> DataFrame:
     """The pairs whose prefixes agree under all the other orders too; only prefixes are moved for it."""
     names = [f"o{j}" for j in range(orders - 1)]

@@ -154,6 +154,39 @@ def test_orders_filter_and_lose_no_link(spark):
     assert links <= both == one & other and both < one and both < other and len(one) < every.count()
 
 
+def test_near_misses_of_a_group_read_no_whole_sets(spark, monkeypatch):
+    """Most pairs of a group of texts made from one are not similar; few more than the links get as far as the whole sets."""
+    draw = np.random.default_rng(8)
+    base, texts = [f"w{k}" for k in range(400)], []
+    for k in range(70):
+        w = list(base)
+        for at in draw.choice(400, 1 if k < 12 else 6, replace=False):
+            w[at] = f"v{draw.integers(0, 10**9)}"
+        texts.append(" ".join(w))
+    s = sets([(k, t) for k, t in enumerate(texts)])
+    near = [sum(j != i and 100 * len(x & y) >= 90 * len(x | y) for j, y in enumerate(s)) for i, x in enumerate(s)]
+    met, links = [], ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda pairs, *rest: met.append(pairs.count()) or links(pairs, *rest))
+    got = ngram_join.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert rows(got.select("doc_id", "n_similar")) == sorted(enumerate(near), key=repr)
+    assert 60 < sum(near) / 2 <= met[0] < 1.3 * sum(near) / 2 < 70 * 69 / 2 / 4
+
+
+def test_parities_are_a_bound(spark):
+    """Bits that differ are never more than the elements that do, at any two sizes; where few elements differ, nearly all show."""
+    F, draw = ngram_join.F, np.random.default_rng(9)
+    some = lambda n: draw.integers(-(2**63), 2**63, n, dtype=np.int64).tolist()
+    kept = some(5000)
+    data = [(k, sorted({*kept[:n], *some(m)})) for k, (n, m) in enumerate([(1, 0), (2, 0), (0, 31), (32, 0), (30, 3), (64, 0), (60, 8), (400, 0), (400, 20), (510, 3), (500, 20), (0, 400), (5000, 0), (5000, 90)])]
+    table = spark.createDataFrame(data, "k int, s array<bigint>").withColumn("p", ngram_join.parities(F.col("s"), F.size("s")))
+    both = table.crossJoin(table.toDF("k2", "s2", "p2")).select("k", "k2", F.size("p").alias("words"), ngram_join._apart(F.col("p"), F.col("p2")).alias("h")).collect()
+    size = {k: len(s) for k, s in data}
+    apart = {(a, b): len(set(s) ^ set(t)) for a, s in data for b, t in data}
+    assert all(2 * size[r["k"]] <= 64 * r["words"] <= max(128, 4 * size[r["k"]]) for r in both)
+    assert all(r["h"] <= apart[r["k"], r["k2"]] and (r["h"] - apart[r["k"], r["k2"]]) % 2 == 0 for r in both)
+    assert all(r["h"] >= 0.8 * apart[r["k"], r["k2"]] for r in both if {r["k"], r["k2"]} in ({7, 8}, {9, 10}, {12, 13}))
+
+
 def test_element_of_thousands_of_classes(spark):
     """One five-word passage in 3,000 texts of many lengths, most otherwise unlike: few pairs meet, and the near copies are found."""
     draw = np.random.default_rng(6)
