@@ -14,6 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEQ, DELETED = "_seq", "_deleted"
+#: Bytes of files whose keys one task aggregates; in memory they take some thirty times as much.
+FOLD_BYTES = 16 << 20
+
+
+def together(rows: DataFrame, ids: list[str], size: int) -> DataFrame:
+    """rows, read from files of `size` bytes, with equal ids in one of as many parts as those bytes need, so that aggregating by ids takes a bounded
+    part of the table in every task, none of them in the scan. Rows of few bytes stay as they are, as do those of unknown size (0)."""
+    parts = -(-size // FOLD_BYTES)
+    return rows.repartition(parts, *ids) if parts > 1 else rows
 
 
 def last_value(column: str) -> Column:
@@ -45,13 +54,14 @@ def merged_value(column: str, how: list[str | None], kind: str) -> Column:
     return F.expr(f"aggregate({values}, cast(null as {kind}), (old, x) -> case when old is null then x.v {cases} end)")
 
 
-def fold(actions: list[DataFrame], ids: list[str], how: list[dict[str, str]] | None = None, deletes: bool = False) -> DataFrame:
+def fold(actions: list[DataFrame], ids: list[str], how: list[dict[str, str]] | None = None, deletes: bool = False, size: int = 0) -> DataFrame:
     """One row for each key. actions: oldest first; a column that an action lacks is null there. how: for each action, columns to their way of
-    merging. deletes: actions may mark rows by `_deleted`."""
+    merging. deletes: actions may mark rows by `_deleted`. size: bytes of the actions' files, if known; see together()."""
     how = how or [{} for _ in actions]
     if len(actions) == 1 and not deletes:
         return actions[0]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (a.withColumn(SEQ, F.lit(k)) for k, a in enumerate(actions)))
+    rows = together(rows, ids, size)
     if deletes and DELETED in rows.columns:
         gone = rows.filter(DELETED).groupBy(*ids).agg(F.max(SEQ).alias("_gone"))
         rows = rows.join(gone, ids, "left").filter(F.col("_gone").isNull() | (F.col(SEQ) > F.col("_gone"))).drop("_gone")

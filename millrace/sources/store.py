@@ -25,7 +25,10 @@ from millrace.sources.log import ROOT, Commit, Log, LogError, Ref
 from millrace.workspace import Files
 
 PART_BYTES = 1 << 30
-_ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: Bytes that a task of a write takes at most, shuffled ones or those of files: writing by parts sorts a task's rows, which takes several times
+#: their shuffled size, and an aggregation before its shuffle may keep all keys of a scan.
+TASK_BYTES, SCAN_BYTES = 64 << 20, 16 << 20
+_ADVISED, _SCANNED = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
 #: Bytes of files after a checkpoint up to which their keys are broadcast, so that the checkpoint's untouched rows are not shuffled.
 SMALL_BYTES = 16 << 20
 #: Bytes that a text counts for the most rows of a file.
@@ -169,11 +172,12 @@ class Store:
             raise
 
     def _check_keys(self, tiles: list[dict]) -> None:
-        """Raises if the files of a commit's first group hold a key twice; only id columns are read, and counts are added up before they move."""
+        """Raises if the files of a commit's first group hold a key twice; only id columns are read."""
         if not tiles:
             return
-        own = [f["path"] for t in tiles if t["group"] == tiles[0]["group"] for f in t["files"]]
-        again = self.spark.read.schema(self._types(self.ids)).parquet(*own).groupBy(*self.ids).count().filter("count > 1")
+        own = [f for t in tiles if t["group"] == tiles[0]["group"] for f in t["files"]]
+        keys = self.spark.read.schema(self._types(self.ids)).parquet(*(f["path"] for f in own))
+        again = merge.together(keys, self.ids, sum(f["size"] for f in own)).groupBy(*self.ids).count().filter("count > 1")
         if row := again.first():
             raise ValueError(f"key {tuple(row)[:-1]} comes {row['count']} times in one append")
 
@@ -188,17 +192,19 @@ class Store:
                 raise ValueError(f"{g.name} is partitioned by columns that these rows lack")
             writer_df = checked.withColumn("_part", g.partition.column())
         # A rebalance, not a repartition: adaptive execution measures what was shuffled, cuts a large part among several tasks and joins small ones,
-        # so that a task writes about part_bytes.
+        # so that a task takes about TASK_BYTES however large the part. The bounds hold for the scans and shuffles of df's own plan too.
         writer_df = writer_df.hint("rebalance", *(["_part"] if g.partition is not None else []))
         if order:
             writer_df = writer_df.sortWithinPartitions(*(["_part"] if g.partition is not None else []), *order)
         writer = writer_df.write.option("maxRecordsPerFile", self._rows(df, part_bytes))
-        before = self.spark.conf.get(_ADVISED)
-        self.spark.conf.set(_ADVISED, str(part_bytes))
+        before = {k: self.spark.conf.get(k) for k in (_ADVISED, _SCANNED)}
+        for k, most in ((_ADVISED, min(part_bytes, TASK_BYTES)), (_SCANNED, SCAN_BYTES)):
+            self.spark.conf.set(k, f"{min(most, self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[k]))}b")
         try:
             (writer.partitionBy("_part") if g.partition is not None else writer).parquet(path)
         finally:
-            self.spark.conf.set(_ADVISED, before)
+            for k, own in before.items():
+                self.spark.conf.set(k, own)
         by: dict[str, list[dict]] = {}
         for p, size in self.files.tree(path):
             if p.endswith(".parquet"):
@@ -239,7 +245,7 @@ class Store:
         return sorted(out)
 
     def _group(self, g: Group, checkpoint: Commit | None, commits: list[Commit], columns: list[str], part: str | None = None, key: dict[str, object] | None = None) -> DataFrame:
-        actions, how, deletes, known, size = [], [], False, {}, 0
+        actions, how, deletes, known, size, late = [], [], False, {}, 0, 0
         for c in [*([checkpoint] if checkpoint else []), *commits]:
             paths = self._paths(c, g, part, key or {}, known)
             if not paths:
@@ -254,13 +260,14 @@ class Store:
                 rows = rows.filter(F.col(k) == F.lit(v))
             actions.append(rows)
             how.append({k: v for k, v in c.expressions.items() if k in columns})
-            size += 0 if c is checkpoint else sum(f["size"] for t in c.tiles if t["group"] == g.name for f in t["files"])
+            held = sum(f["size"] for t in c.tiles if t["group"] == g.name for f in t["files"])
+            size, late = size + held, late + (0 if c is checkpoint else held)
         if not actions:
             return self.spark.createDataFrame([], self._types([*g.ids, *columns]))
-        if checkpoint and len(actions) > 1 and size <= SMALL_BYTES and set(actions[0].columns) == {*g.ids, *columns}:
+        if checkpoint and len(actions) > 1 and late <= SMALL_BYTES and set(actions[0].columns) == {*g.ids, *columns}:
             out = merge.fold_small(actions[0], actions[1:], list(g.ids), how, deletes)
         else:
-            out = merge.fold(actions, list(g.ids), how, deletes)
+            out = merge.fold(actions, list(g.ids), how, deletes, 0 if key or part else size)
         return out.select(*g.ids, *(F.col(c) if c in out.columns else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in columns))
 
     def read(self, ref: object = Ref(), columns: list[str] | None = None, part: str | None = None, key: dict[str, object] | None = None) -> DataFrame:

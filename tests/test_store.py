@@ -297,3 +297,29 @@ def test_checkpoint_rows_that_no_commit_touches_are_not_shuffled(spark):
     df = store.read(columns=["id", "c", "d"])
     assert "LeftAnti" in df._jdf.queryExecution().toString()
     assert sorted(rows(df)) == sorted([(k, 70 if k == 7 else k, k) for k in range(50)] + [(90, 1, 1)])
+
+
+def test_a_large_part_is_written_by_several_tasks_and_conf_comes_back(spark, monkeypatch):
+    monkeypatch.setattr("millrace.sources.store.TASK_BYTES", 20_000, raising=False)
+    keys = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(k) for k in keys]
+    store = Store.create(spark, fresh_path(spark, "bounded"), T.StructType.fromDDL("id bigint, v bigint"), [Group("all", ("id",), ("v",), KeyHash(("id",), 1))])
+    commit = store.append(spark.range(0, 40_000, 1, 8).select("id", F.xxhash64("id").alias("v")))
+    assert len([f for t in commit.tiles for f in t["files"]]) > 3
+    assert [spark.conf.get(k) for k in keys] == before
+    assert store.read().agg(F.count("v"), F.sum("id")).first()[:] == (40_000, 40_000 * 39_999 // 2)
+
+
+def test_large_versions_are_shuffled_before_keys_are_kept(spark, monkeypatch):
+    monkeypatch.setattr("millrace.operators.merge.FOLD_BYTES", 2000, raising=False)
+    store = Store.create(spark, fresh_path(spark, "folded"), T.StructType.fromDDL("id bigint, v bigint, n array<int>"), [Group("all", ("id",), ("v", "n"), KeyHash(("id",), 2))])
+    store.append(spark.range(3000).select("id", F.col("id").alias("v"), F.array(F.lit(1)).alias("n")))
+    store.append(spark.range(0, 3000, 3).select("id", F.lit(-1).cast("bigint").alias("v"), F.array(F.lit(2)).alias("n")), expressions={"n": "append"})
+    store.append(spark.range(0, 3000, 5).select("id", F.lit(True).alias("_deleted")))
+    df = store.read()
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().toString()
+    assert rows(df) == rows(spark.range(3000).filter("id % 5 <> 0").selectExpr("id", "if(id % 3 = 0, -1, id) as v", "if(id % 3 = 0, array(1, 2), array(1)) as n"))
+    assert rows(store.read(columns=["id"]).agg(F.count("id"))) == [(2400,)]
+    assert "REPARTITION_BY_NUM" not in store.get({"id": 6})._jdf.queryExecution().toString() and store.get({"id": 6}).count() == 1
+    with pytest.raises(ValueError, match="comes 2 times"):
+        store.append(spark.range(3000).union(spark.range(7, 8)).select("id", F.lit(0).cast("bigint").alias("v")))
