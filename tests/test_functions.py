@@ -211,6 +211,37 @@ def test_bpe_ids_are_the_library_s(spark):
     assert got == {k: None if t is None else tok.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
 
 
+def test_bpe_holds_one_text_s_encoding_and_few_ids(monkeypatch):
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    from millrace.functions import bpe
+
+    met = []
+    encoded = lambda texts, **options: met.append(len(texts)) or [SimpleNamespace(ids=[ord(c) for c in t]) for t in texts]
+    tok = SimpleNamespace(encode_batch=encoded, encode_batch_fast=encoded)
+    monkeypatch.setattr("tokenizers.Tokenizer", SimpleNamespace(from_file=lambda path: tok))
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: lambda column: f)
+    monkeypatch.setattr(bpe, "AT_ONCE", 50, raising=False)
+    texts = ["ab", None, "", None, None, "c" * 30] * 100 + [None]
+    out = list(bpe.token_ids(None, "none")(iter([pa.array(texts), pa.array([], pa.string()), pa.array([None, "x"])])))
+    assert [r for a in out for r in a.to_pylist()] == [None if t is None else [ord(c) for c in t] for t in [*texts, None, "x"]]
+    assert max(met) == 1 and max(len(a.values) for a in out) <= 80
+
+
+def test_bpe_ids_in_pieces_are_the_library_s(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.functions import bpe
+
+    monkeypatch.setattr(bpe, "AT_ONCE", 3, raising=False)
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), [None, "", *(f"some words {k}" if k % 3 else None for k in range(60)), "end", None]
+    got = {r["k"]: r["ids"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(2).select("k", bpe.token_ids(F.col("t"), path).alias("ids")).collect()}
+    tok = Tokenizer.from_file(path)
+    assert got == {k: None if t is None else tok.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
 def test_labelled_files_and_wiki_dumps(spark, tmp_path):
     from millrace.sources.generators import labelled_files, wiki_pages
 
